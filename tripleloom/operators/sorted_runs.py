@@ -1,0 +1,86 @@
+"""Runs of equal keys in range-partitioned, externally sorted rows.
+
+Rows are range-partitioned by (hash of key, key, row) and sorted within the partitions, so the
+sort spills and a run of any length is cut into even parts.  A scan then compares each full key
+with its neighbour's.  What the scan cannot see, a run that goes on in the next partition, is
+settled from one small record per partition.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tripleloom.session import cut_lineage
+
+
+def _digest(key: str | None) -> bytes | None:
+    return None if key is None else hashlib.sha256(key.encode("utf-8", "surrogatepass")).digest()
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(row, first)`` with the first row of their run in this partition; ``head`` marks the
+    partition's first run.  One more record, with ``row`` null, tells how the partition begins and ends."""
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    names = ["part", "row", "first", "head", "first_key", "last_key"]
+    first_key = last_key = None
+    start, runs = 0, 0
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        key, row = b.column(0), b.column(1).to_numpy()
+        new = np.empty(n, dtype=bool)
+        new[0] = not runs or key[0].as_py() != last_key
+        if n > 1:
+            new[1:] = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        if not runs:
+            first_key = key[0].as_py()
+        number = runs + np.cumsum(new)
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        first = np.where(at >= 0, row[np.maximum(at, 0)], start)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, part, np.int32)), pa.array(row, pa.int64()), pa.array(first, pa.int64()), pa.array(number == 1), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+            names=names,
+        )
+        start, runs, last_key = int(first[-1]), int(number[-1]), key[n - 1].as_py()
+    if runs:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([start], pa.int64()), pa.array([runs == 1]), pa.array([_digest(first_key)], pa.binary()), pa.array([_digest(last_key)], pa.binary())],
+            names=names,
+        )
+
+
+def run_members(df: DataFrame, key: Column, row: str) -> DataFrame:
+    """``(first, row)``: for every row of ``df`` the smallest ``row`` among those of equal ``key``.
+
+    ``key`` is a string and must not be null; ``row`` is a whole number, unique and not null.
+    """
+    keyed = df.select(key.alias("key"), F.col(row).cast("long").alias("row")).withColumn("h", F.xxhash64("key"))
+    ordered = keyed.repartitionByRange("h", "key", "row").sortWithinPartitions("h", "key", "row").select("key", "row")
+    scanned = cut_lineage(
+        ordered.mapInArrow(_scan, "part int, row long, first long, head boolean, first_key binary, last_key binary")
+    )
+    ends = scanned.where(F.col("row").isNull()).orderBy("part").collect()  # one record per partition
+    goes_on, open_key, open_start = [], None, None
+    for e in ends:
+        own = e["first"]
+        if open_key is not None and open_key == e["first_key"]:
+            goes_on.append((e["part"], open_start))
+            own = open_start if e["head"] else own
+        open_key, open_start = e["last_key"], own
+    rows = scanned.where(F.col("row").isNotNull())
+    if not goes_on:
+        return rows.select("first", "row")
+    fixed = df.sparkSession.createDataFrame(goes_on, "part int, earlier long")
+    return rows.join(F.broadcast(fixed), (rows["part"] == fixed["part"]) & F.col("head"), "left").select(  # at most a row per partition
+        F.coalesce("earlier", "first").alias("first"), "row"
+    )
