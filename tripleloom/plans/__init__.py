@@ -2,8 +2,8 @@
 
 from importlib import import_module
 
-FLAGSHIP = "p1_found"
-MODULES = ["training_data"]
+FLAGSHIP = "a01_path_index"
+MODULES = ["training_data", "graph"]
 
 
 def load_all() -> None:
