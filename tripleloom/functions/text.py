@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.binding import let
+
 #: The ASCII punctuation, the articles, the markers of an answer text.
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 ARTICLES = r"\b(a|an|the)\b"
@@ -37,7 +39,7 @@ def after_last(text: Column, mark: str) -> Column:
 def selected(text: Column, candidates: Column) -> Column:
     """The candidates named by ``[RELi]`` (from 1), in the candidates' order, each once; others are ignored."""
     found = F.transform(F.regexp_extract_all(text, F.lit(SELECTION), F.lit(1)), lambda x: x.cast("int"))
-    return F.filter(F.transform(candidates, lambda c, i: F.when(F.array_contains(found, i + 1), c)), lambda c: c.isNotNull())
+    return let(found, lambda f: F.filter(F.transform(candidates, lambda c, i: F.when(F.array_contains(f, i + 1), c)), lambda c: c.isNotNull()))
 
 
 def reply_object(text: Column) -> Column:
