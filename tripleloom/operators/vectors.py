@@ -9,50 +9,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.vectors import cosine, dot
+from tripleloom.functions.vectors import cosine
 
 
-def top_k(keys: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 2000) -> DataFrame:
-    """``(query, key, score, rank)`` of ``queries(query, v)`` against all ``keys(key, v)``.
-
-    The queries go out in blocks of at most ``block``, each held against every key in one
-    matrix product per batch; a partition keeps its best ``k`` per query before anything is
-    shuffled.  Scores are rounded to 9 places, ties go to the smaller key.  Null vectors take no part.
-    """
-    kind = dict(keys.dtypes)["key"]
-    q = queries.where(F.col("v").isNotNull())
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The stated queries in blocks of about ``block``: what is sent out stays bounded."""
+    q = queries.where(F.col("v").isNotNull()).select("query", "v")
     blocks = max(1, -(-q.count() // block))
-    out = None
     for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)  # blocks of the query set; all are run
-        rows = part.select("query", "v").collect()  # about ``block`` rows
-        found = keys.where(F.col("v").isNotNull()).select("key", "v").mapInPandas(_scorer([r[0] for r in rows], [r[1] for r in rows], k, metric), f"query long, key {kind}, score double")
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)).collect()  # each block is run
+        yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _against(keys: DataFrame, queries: DataFrame, metric: str, block: int, keep: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """``(query, key, score)``: every block of queries against every key in matrix products; ``keep``
+    thins the scores of a partition, again and again, before anything is shuffled."""
+    kinds = dict(keys.dtypes)["key"], dict(queries.dtypes)["query"]
+
+    def scorer(names: list, q: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        q = _unit(q) if metric == "cosine" and names else q
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: pd.DataFrame | None = None
+            for b in batches:
+                if b.empty or not names:
+                    continue
+                m = np.array(b["v"].tolist(), dtype=np.float64)
+                s = np.round((_unit(m) if metric == "cosine" else m) @ q.T, 9)
+                one = keep(pd.DataFrame({"query": np.repeat(np.array(names, dtype=object), len(b)), "key": np.tile(b["key"].to_numpy(), len(names)), "score": s.T.ravel()}))
+                best = one if best is None else keep(pd.concat([best, one]))
+            if best is not None:
+                yield best
+
+        return run
+
+    out = None
+    narrow = keys.where(F.col("v").isNotNull()).select("key", "v")
+    for names, q in _blocks(queries, block):
+        found = narrow.mapInPandas(scorer(names, q), f"query {kinds[1]}, key {kinds[0]}, score double")
         out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out
 
 
-def _scorer(names: list, vectors: list, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    q = np.array(vectors, dtype=np.float64).reshape(len(names), -1)
-    if metric == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def top_k(keys: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 2000) -> DataFrame:
+    """``(query, key, score, rank)`` of ``queries(query, v)`` against all ``keys(key, v)``.
+
+    A partition keeps its best ``k`` per query.  Scores are rounded to 9 places, ties go to the
+    smaller key.  Null vectors take no part."""
+    best = lambda df: df.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    return _against(keys, queries, metric, block, best).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for b in batches:
-            if b.empty or not names:
-                continue
-            m = np.array(b["v"].tolist(), dtype=np.float64)
-            if metric == "cosine":
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            s = np.round(m @ q.T, 9)
-            one = pd.DataFrame({"query": np.repeat(names, len(b)), "key": np.tile(b["key"].to_numpy(), len(names)), "score": s.T.ravel()})
-            best = one if best is None else pd.concat([best, one])
-            best = best.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
-        if best is not None:
-            yield best
 
-    return run
+def alike(keys: DataFrame, queries: DataFrame, least: float, metric: str = "cosine", block: int = 2000) -> DataFrame:
+    """``(query, key, score)`` of all pairs whose score is at least ``least``; see top_k."""
+    return _against(keys, queries, metric, block, lambda df: df[df["score"] >= least])
 
 
 def ranked_relations(edges: DataFrame, relations: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -70,9 +85,10 @@ def confusable_pairs(edges: DataFrame, relations: DataFrame, least: float) -> Da
 
     Similar relations are paired once for the whole graph; nodes then only look their own
     pairs up, so a hub's edges are never paired with each other."""
-    a, b = relations.select(F.col("r").alias("r1"), F.col("v").alias("v1")), relations.select(F.col("r").alias("r2"), F.col("v").alias("v2"))
-    alike = a.join(F.broadcast(b), F.col("r1") < F.col("r2")).select("r1", "r2", F.round(dot(F.col("v1"), F.col("v2")), 9).alias("score")).where(F.col("score") >= least)
+    named = relations.select(F.col("r").alias("query"), "v")
+    near = alike(named.withColumnRenamed("query", "key"), named, least, "ip")
+    near = near.where("query < key").select(F.col("query").alias("r1"), F.col("key").alias("r2"), "score")
     span = edges.groupBy("h", "r").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     one, two = span.select("h", F.col("r").alias("r1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), span.select("h", F.col("r").alias("r2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     # some pair of targets differs unless each side has the one same target
-    return one.join(alike, "r1").join(two, ["h", "r2"]).where(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("h", "r1", "r2", "score")
+    return one.join(near, "r1").join(two, ["h", "r2"]).where(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("h", "r1", "r2", "score")
