@@ -1,0 +1,29 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tripleloom.operators.sorted_runs import run_members
+
+
+def test_runs_over_partition_borders(spark):
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(150)}" if i % 7 else f"only{i}") for i in range(3000)]
+    rng.shuffle(rows)
+    least = {}
+    for i, k in rows:
+        least[k] = min(i, least.get(k, i))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the hot run is cut by the range partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.createDataFrame(rows, "id long, k string").repartition(7)
+        got = {r["row"]: r["first"] for r in run_members(df, F.col("k"), "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: least[k] for i, k in rows}
+
+
+def test_one_key_and_none(spark):
+    df = spark.createDataFrame([(i, "k") for i in range(500)], "id long, k string").repartition(9)
+    assert {r["first"] for r in run_members(df, F.col("k"), "id").collect()} == {0}
+    assert run_members(df.limit(0), F.col("k"), "id").count() == 0

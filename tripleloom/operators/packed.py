@@ -169,9 +169,9 @@ def unpack(df: DataFrame, key: str, fields: dict[str, str], object_fields: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, values in readers.items():
+            for k, (name, values) in enumerate(readers.items()):
                 at, pos, items = [], [], []
-                for i, text in enumerate(b.column(name).to_pylist()):
+                for i, text in enumerate(b.column(1 + k).to_pylist()):
                     if not text or (name in objects and text.lstrip()[:1] == "{" and is_object(text)):
                         continue
                     found = values(text)
@@ -184,7 +184,7 @@ def unpack(df: DataFrame, key: str, fields: dict[str, str], object_fields: Seque
                 )
 
     return (
-        df.select(df[key].alias("key"), *(df[name] for name in fields))
+        df.select(df[key].alias("key"), *(df[name].alias(f"field{k}") for k, name in enumerate(fields)))
         .mapInArrow(run, f"key {kind}, field string, pos int, item string")
         .withColumnRenamed("key", key)
     )
