@@ -14,58 +14,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.words import words
+from tripleloom.session import cut_lineage
 
 #: Word counts are gathered in this many buckets, so what is broadcast never grows beyond them.
 BUCKETS = 65_536
 
 
 def word_sets(rows: DataFrame, row: str, question: str, train: Column, held_out: Column) -> DataFrame:
-    """``(row, key, train, held_out)``: rows of either side, ``key`` being the sorted set of words."""
+    """``(row, sid, key, train, held_out)``: rows of either side; ``key`` is the sorted set of words,
+    ``sid`` its digest, which stands for it wherever the words themselves aren't needed."""
     key = F.array_join(F.array_sort(F.array_distinct(words(F.col(question)))), " ")
-    return rows.select(
-        F.col(row).alias("row"), key.alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(held_out, F.lit(False)).alias("held_out")
-    ).where((F.col("key") != "") & (F.col("train") | F.col("held_out")))
+    narrow = rows.select(F.col(row).alias("row"), key.alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return narrow.where((F.col("key") != "") & (F.col("train") | F.col("held_out"))).withColumn("sid", F.unhex(F.md5("key")))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``(key, n, train, held_out, ws)``: the distinct sets, their words from rare to frequent."""
-    sets = rows.groupBy("key").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out"))
-    apart = sets.select("key", "train", "held_out", F.explode(F.split("key", " ")).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
+    """``(sid, train, held_out, n, ws)``: the distinct sets, their words from rare to frequent."""
+    sets = rows.groupBy("sid").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out"), F.any_value("key").alias("key"))
+    apart = sets.select("sid", "train", "held_out", F.explode(F.split("key", " ")).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
     counts = apart.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    # at most BUCKETS rows are broadcast; grouping by key needs no further shuffle
+    # at most BUCKETS rows are broadcast; grouping by sid needs no further shuffle
     return (
         apart.join(F.broadcast(counts), "b")
-        .groupBy("key", "train", "held_out")
+        .groupBy("sid", "train", "held_out")
         .agg(F.sort_array(F.collect_list(F.struct("c", "b", "w"))).alias("o"))
-        .select("key", "train", "held_out", F.size("o").alias("n"), F.col("o.w").alias("ws"))
+        .select("sid", "train", "held_out", F.size("o").alias("n"), F.col("o.w").alias("ws"))
     )
 
 
 def similar_sets(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """``(key_train, key_held)``: pairs of word sets, one of each side, that reach the threshold."""
+    """``(t_sid, h_sid)``: pairs of word sets, one of each side, that reach the threshold.
+
+    The index holds digests and places only; the words come back for the pairs that are left,
+    so a text of any length adds as much as it is long."""
     num, den = threshold.numerator, threshold.denominator
-    ranked = _ranked(rows)
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1  # ceil(n t), at least one word is looked at
+    ranked = cut_lineage(_ranked(rows))  # read four times below
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1  # at least one word is looked at
+
+    def index(name: str) -> DataFrame:
+        s = name[0]
+        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("n").alias(f"{s}_n"), F.posexplode(F.slice("ws", 1, prefix)).alias(f"{s}_i", "w"))
 
-    def side(name: str) -> DataFrame:
+    def content(name: str) -> DataFrame:
         s = name[0]
-        return ranked.where(F.col(name)).select(
-            F.col("key").alias(f"{s}_key"), F.col("n").alias(f"{s}_n"), F.col("ws").alias(f"{s}_ws"), F.posexplode(F.slice("ws", 1, prefix)).alias(f"{s}_i", "w")
-        )
+        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("ws").alias(f"{s}_ws"))
 
-    t, h = side("train"), side("held_out")
     t_n, h_n, t_i, h_i = (F.col(c) for c in ("t_n", "h_n", "t_i", "h_i"))
     lengths = (h_n * den >= t_n * num) & (t_n * den >= h_n * num)
-    most = F.least(t_i, h_i) + 1 + F.least(t_n - t_i, h_n - h_i) - 1
+    most = F.least(t_i, h_i) + F.least(t_n - t_i, h_n - h_i)
     position = most * (num + den) >= (t_n + h_n) * num
+    near = index("train").join(index("held_out"), "w").where(lengths & position).select("t_sid", "h_sid").distinct()
+    both = near.join(content("train"), "t_sid").join(content("held_out"), "h_sid")
     overlap = F.size(F.array_intersect("t_ws", "h_ws"))
-    return (
-        t.join(h, "w")
-        .where(lengths & position)
-        .where(overlap * (num + den) >= (t_n + h_n) * num)
-        .select(F.col("t_key").alias("key_train"), F.col("h_key").alias("key_held"))
-        .distinct()
-    )
+    return both.where(overlap * (num + den) >= (F.size("t_ws") + F.size("h_ws")) * num).select("t_sid", "h_sid")
 
 
 def cross_split_pairs(rows: DataFrame, row: str, question: str, train: Column, held_out: Column, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -78,6 +79,6 @@ def cross_split_pairs(rows: DataFrame, row: str, question: str, train: Column, h
     """
     sets = word_sets(rows, row, question, train, held_out)
     pairs = similar_sets(sets, threshold)
-    t = sets.where("train").select(F.col("key").alias("key_train"), F.col("row").alias("row_train"))
-    h = sets.where("held_out").select(F.col("key").alias("key_held"), F.col("row").alias("row_held"))
-    return pairs.join(t, "key_train").join(h, "key_held").select("row_train", "row_held")
+    t = sets.where("train").select(F.col("sid").alias("t_sid"), F.col("row").alias("row_train"))
+    h = sets.where("held_out").select(F.col("sid").alias("h_sid"), F.col("row").alias("row_held"))
+    return pairs.join(t, "t_sid").join(h, "h_sid").select("row_train", "row_held")
