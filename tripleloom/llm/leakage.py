@@ -2,7 +2,8 @@
 
 The held-out items are indexed once: for every word the items that hold it with their BM25
 impact, in blocks that keep their largest impact.  Every training passage queries the index with
-block-max WAND.  An item's impacts are divided by the least score that any of its runs of
+block-max WAND: blocks whose bounds can't reach the threshold are passed over, the others walked
+pivot by pivot.  An item's impacts are divided by the least score that any of its runs of
 ``run_words`` words can have, so that the one threshold 1 loses no true case; what is retrieved is
 then verified word by word.
 """
@@ -14,15 +15,16 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is an unbroken run of letters and digits.
 find_words = re.compile(r"[^\W_]+").findall
-K1, B, BLOCK = 1.2, 0.75, 64
-END = 1 << 60
+K1, B, BLOCK = 1.2, 0.75, 32
 
 
 def passage_words(text: str | None) -> list[str]:
@@ -30,64 +32,76 @@ def passage_words(text: str | None) -> list[str]:
 
 
 class ItemIndex:
-    """A block-max inverted index of the items, and its query."""
+    """A block-max inverted index of the items, and its query.
+
+    Items stand in the order of the score a run of theirs has at least, so that a block holds
+    items of one scale and its largest impacts bound all of them closely.
+    """
 
     def __init__(self, items: Sequence[tuple[int, str | None]], run_words: int = 10) -> None:
         self.run_words = run_words
-        texts = [(i, w) for i, text in sorted(items) if len(w := passage_words(text)) >= run_words]
-        self.ids = [i for i, _ in texts]
-        self.runs = [{tuple(w[k : k + run_words]) for k in range(len(w) - run_words + 1)} for _, w in texts]
-        counts = [Counter(w) for _, w in texts]
+        texts = [(i, w) for i, text in items if len(w := passage_words(text)) >= run_words]
         n, mean = len(texts), sum(len(w) for _, w in texts) / max(1, len(texts))
-        df = Counter(w for c in counts for w in c)
+        df = Counter(w for _, text in texts for w in set(text))
         idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
-        postings: dict[str, list[tuple[int, float]]] = {w: [] for w in df}
-        for at, ((_, text), c) in enumerate(zip(texts, counts)):
+        scored = []
+        for i, text in texts:
             norm = K1 * (1 - B + B * len(text) / mean)
-            impact = {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in c.items()}
-            least = min(sum(impact[w] for w in set(run)) for run in self.runs[at])
+            impact = {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(text).items()}
+            runs = {tuple(text[k : k + run_words]) for k in range(len(text) - run_words + 1)}
+            scored.append((min(sum(impact[w] for w in set(run)) for run in runs), i, impact, runs))
+        scored.sort(key=lambda x: x[:2])
+        self.ids = [i for _, i, _, _ in scored]
+        self.runs = [runs for _, _, _, runs in scored]
+        self.blocks = -(-n // BLOCK)
+        places: dict[str, list[int]] = {w: [] for w in df}
+        impacts: dict[str, list[float]] = {w: [] for w in df}
+        for at, (least, _, impact, _) in enumerate(scored):
             for w, x in impact.items():
-                postings[w].append((at, x / least * (1 + 1e-9)))
-        #: word: positions, impacts, the blocks' last positions and largest impacts, the largest impact
+                places[w].append(at)
+                impacts[w].append(x / least * (1 + 1e-9))
+        #: word: places, impacts, the blocks that hold it, their largest impacts (as arrays and by block), the largest of all
         self.lists = {}
-        for w, p in postings.items():
-            blocks = [p[k : k + BLOCK] for k in range(0, len(p), BLOCK)]
-            self.lists[w] = ([a for a, _ in p], [x for _, x in p], [b[-1][0] for b in blocks], [max(x for _, x in b) for b in blocks], max(x for _, x in p))
+        for w, at in places.items():
+            most: dict[int, float] = {}
+            for a, x in zip(at, impacts[w]):
+                most[a // BLOCK] = max(x, most.get(a // BLOCK, 0.0))
+            self.lists[w] = (at, impacts[w], np.array([*most]), np.array([*most.values()]), most, max(most.values()))
 
     def above(self, terms: set[str]) -> list[int]:
         """The items (by place) whose score against the distinct ``terms`` is at least 1."""
         lists = [self.lists[w] for w in terms if w in self.lists]
-        if sum(x[4] for x in lists) < 1:
+        if sum(x[5] for x in lists) < 1:
             return []
-        cursors = [[x[0][0], 0, x] for x in lists]  # item, place in the list, the list
+        bound = np.zeros(self.blocks)
+        for x in lists:
+            bound[x[2]] += x[3]
+        return [at for block in np.flatnonzero(bound >= 1).tolist() for at in self._in_block(lists, block)]
+
+    @staticmethod
+    def _in_block(lists: list, block: int) -> list[int]:
+        """WAND over one block with the block's largest impacts as bounds."""
+        low, high = block * BLOCK, (block + 1) * BLOCK
+        cursors = []  # item, place in the list, the list, the bound
+        for x in lists:
+            if (most := x[4].get(block)) is not None:
+                k = bisect_left(x[0], low)
+                cursors.append([x[0][k], k, x, most])
         out = []
         while True:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=itemgetter(0))
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                if c[0] == END:
-                    break
-                bound += c[2][4]
+                bound += c[3]
                 if bound >= 1:
                     pivot = k
                     break
             if pivot < 0:
                 return out
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            shallow, upto = 0.0, END
-            for c in cursors[: pivot + 1]:  # the blocks that would hold the item
-                block = bisect_left(c[2][2], item)
-                if block < len(c[2][2]):
-                    shallow += c[2][3][block]
-                    upto = min(upto, c[2][2][block] + 1)
-            if shallow < 1:  # no item of these blocks can reach the threshold
-                if pivot + 1 < len(cursors):
-                    upto = min(upto, cursors[pivot + 1][0])
-                for c in cursors[: pivot + 1]:
-                    self._advance(c, max(upto, item + 1))
-            elif cursors[0][0] == item:
+            if item >= high:
+                return out
+            if cursors[0][0] == item:
                 score = 0.0
                 for c in cursors:
                     if c[0] != item:
@@ -95,18 +109,14 @@ class ItemIndex:
                     score += c[2][1][c[1]]
                 if score >= 1:
                     out.append(item)
-                for c in cursors[: pivot + 1]:
-                    self._advance(c, item + 1)
-            else:
-                for c in cursors[: pivot + 1]:
-                    self._advance(c, item)
-
-    @staticmethod
-    def _advance(cursor: list, to: int) -> None:
-        if cursor[0] < to:
-            places = cursor[2][0]
-            cursor[1] = bisect_left(places, to, cursor[1])
-            cursor[0] = places[cursor[1]] if cursor[1] < len(places) else END
+                item += 1
+            for c in cursors:
+                if c[0] >= item:
+                    break
+                places = c[2][0]
+                c[1] = k = bisect_left(places, item, c[1])
+                c[0] = places[k] if k < len(places) else high
+            cursors = [c for c in cursors if c[0] < high]
 
     def leaked(self, text: str | None) -> list[int]:
         """The ids of the items of which the text holds ``run_words`` words one after another."""
