@@ -20,14 +20,12 @@ MEMBER, FIELD = "\x1e", "\x1f"
 
 
 def canonical_object(text: Column) -> Column:
-    """A JSON object as its members in the order of their names, each value in letters and digits; null if it isn't one."""
-    members = F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
-    sorted_members = F.array_sort(F.map_entries(members))
-    return F.concat_ws(
-        MEMBER,
-        F.lit("{"),
-        F.transform(sorted_members, lambda m: F.concat(m["key"], F.lit("="), letters_and_digits(F.regexp_replace(m["value"], JSON_ESCAPE, " ")))),
-    )
+    """A JSON object as its members in the order of their names, each value in letters and digits; null if
+    the text isn't one object and nothing else."""
+    read = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})  # a list of it is malformed if anything follows
+    members = F.array_sort(F.map_entries(F.when(F.ltrim(text).startswith("{") & (F.size(read) == 1), F.get(read, F.lit(0)))))
+    value = lambda m: letters_and_digits(F.regexp_replace(m["value"], JSON_ESCAPE, " "))
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(m["key"], F.lit("="), value(m))), MEMBER))
 
 
 def canonical_key(exact: Sequence[str], text: Sequence[str], objects: Sequence[str] = ()) -> Column:
@@ -35,10 +33,7 @@ def canonical_key(exact: Sequence[str], text: Sequence[str], objects: Sequence[s
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in exact]
     for c in text:
         plain = letters_and_digits(F.col(c))
-        if c in objects:
-            is_object = F.ltrim(F.col(c)).startswith("{") & F.get_json_object(F.col(c), "$").isNotNull()
-            plain = F.when(is_object, canonical_object(F.col(c))).otherwise(plain)
-        parts.append(plain)
+        parts.append(F.coalesce(canonical_object(F.col(c)), plain) if c in objects else plain)
     return F.concat_ws(FIELD, *parts)
 
 
