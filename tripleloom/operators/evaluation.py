@@ -101,3 +101,10 @@ def hallucinated_share(paths: DataFrame, key: str, relation: str, known: DataFra
     """``(<key>, relations, unknown, ratio)``: the share of each key's relations that no dictionary row ``(r)`` holds."""
     marked = paths.join(known.select(F.col("r").alias(relation)).distinct().withColumn("__known", F.lit(1)), relation, "left")
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("relations"), F.count_if(F.col("__known").isNull()).alias("unknown")).withColumn("ratio", F.col("unknown") / F.col("relations"))
+
+
+def path_metrics(rows: DataFrame, key: str, paths: str, gold_paths: str, ends: str, gold: str) -> DataFrame:
+    """``(<key>, path_f1, answer_f1)``: set F1 of normalised paths against the true ones, and of the
+    paths' last entities against the gold answers."""
+    s = rows.select(key, *(normal_set(F.col(c)).alias(n) for n, c in (("p", paths), ("gp", gold_paths), ("e", ends), ("g", gold))))
+    return s.select(key, set_metrics(F.col("p"), F.col("gp"))["f1"].alias("path_f1"), set_metrics(F.col("e"), F.col("g"))["f1"].alias("answer_f1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions.binding import let
@@ -55,3 +55,8 @@ def gate(states: DataFrame, key: str, ids: str, trie: DataFrame) -> DataFrame:
     unconstrained or because the prefix allows none."""
     s = states.select(key, constrained_prefix(F.col(ids)).alias("prefix"))
     return s.join(trie, "prefix", "left").select(key, F.col("prefix").isNotNull().alias("constrained"), "next")
+
+
+def fixed(spark: SparkSession, sequences: list[list[str]]) -> DataFrame:
+    """A trie of a few given sequences, as stand-in for an index."""
+    return build(spark.createDataFrame([(s,) for s in sequences], "s array<string>"), "s")

@@ -92,3 +92,29 @@ def confusable_pairs(edges: DataFrame, relations: DataFrame, least: float) -> Da
     one, two = span.select("h", F.col("r").alias("r1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), span.select("h", F.col("r").alias("r2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     # some pair of targets differs unless each side has the one same target
     return one.join(near, "r1").join(two, ["h", "r2"]).where(~((F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2")))).select("h", "r1", "r2", "score")
+
+
+def encode(names: DataFrame, name: str, encoder: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """``(key, v)``: every distinct, non-blank name once with its vector; ``encoder`` maps a list of names
+    to a matrix and may be any model, loaded once per worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = b["key"].tolist()
+            if keys:
+                yield pd.DataFrame({"key": keys, "v": [r.tolist() for r in np.asarray(encoder(keys), dtype=np.float32)]})
+
+    keys = names.select(F.trim(name).alias("key")).where("key <> ''").distinct()
+    return keys.mapInPandas(run, "key string, v array<float>")
+
+
+def hashed_words(names: list[str], size: int = 64) -> np.ndarray:
+    """An encoder that needs no model: words hashed into a vector of unit length."""
+    import hashlib
+
+    out = np.zeros((len(names), size))
+    for row, n in zip(out, names):
+        for w in n.lower().split():
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+            row[h % size] += 1 if h >> 63 else -1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)

@@ -336,3 +336,19 @@ def long_paths(spark: SparkSession, folder: str, diff: int = 2) -> DataFrame:
 def converted(spark: SparkSession, folder: str) -> DataFrame:
     parts = F.filter(F.transform(F.split("prediction", ","), lambda x: F.trim(x)), lambda x: x != "")
     return load(spark, folder, "predictions").where("prediction IS NOT NULL").select(F.col("row_id").alias("id"), "question", F.array_join(parts, "|").alias("final_answer_entities"))
+
+
+SET_F1 = """CASE WHEN len({1}) = 0 THEN (len({0}) = 0)::INT::DOUBLE WHEN len(list_intersect({0}, {1})) = 0 THEN 0 ELSE 2 * (len(list_intersect({0}, {1}))::DOUBLE / len({0})) * (len(list_intersect({0}, {1}))::DOUBLE / len({1}))
+/ (len(list_intersect({0}, {1}))::DOUBLE / len({0}) + len(list_intersect({0}, {1}))::DOUBLE / len({1})) END"""
+
+
+@query("h09_path_metrics", rf"""WITH x AS (SELECT row_id, list_filter(string_split_regex(coalesce(predicted_paths, ''), '[|\t\r\n]+'), lambda v: v <> '') AS ps, list_filter(coalesce(ground_truth_paths, []::VARCHAR[]), lambda v: v IS NOT NULL) AS gs,
+list_filter(coalesce(ground_truth, []::VARCHAR[]), lambda v: v IS NOT NULL) AS ga FROM predictions),
+n AS (SELECT row_id, list_distinct(list_transform(ps, lambda v: {norm('v')})) AS p, list_distinct(list_transform(gs, lambda v: {norm('v')})) AS gp, list_distinct(list_transform(ps, lambda v: {norm("list_last(string_split(v, '> '))")})) AS e, list_distinct(list_transform(ga, lambda v: {norm('v')})) AS g FROM x)
+SELECT row_id, round({SET_F1.format('p', 'gp')}, 6) AS path_f1, round({SET_F1.format('e', 'g')}, 6) AS answer_f1 FROM n""")
+def path_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    known = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    paths = F.filter(F.split(F.coalesce("predicted_paths", F.lit("")), r"[|\t\r\n]+"), lambda x: x != "")
+    ends = F.transform(paths, lambda x: F.element_at(F.split(x, "> "), -1))
+    rows = load(spark, folder, "predictions").select("row_id", paths.alias("p"), known("ground_truth_paths").alias("gp"), ends.alias("e"), known("ground_truth").alias("g"))
+    return rounded(E.path_metrics(rows, "row_id", "p", "gp", "e", "g"), "path_f1", "answer_f1")

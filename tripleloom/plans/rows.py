@@ -626,3 +626,37 @@ def relations_of_one_source(spark: SparkSession, folder: str) -> DataFrame:
 def all_training_rows(spark: SparkSession, folder: str) -> DataFrame:
     one = lambda table, key, kind: load(spark, folder, table).select(F.col(key).alias("row_id"), F.lit(kind).alias("kind"))
     return one("sft_rows", "sft_row_id", "sft").unionByName(one("pref_rows", "pref_row_id", "pref"))
+
+
+@query("t20_history_keys", f"{FW} SELECT DISTINCT qid, history FROM ch WHERE NOT good")
+def history_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return training.choices(walk_items(spark, folder), "qid", "negative_paths").select("qid", "history").distinct()
+
+
+@query("v03_encoded_entities")
+def encoded_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.encode(G.entities(clean(spark, folder)), "entity", vectors.hashed_words)
+
+
+@query("r05_marked_trie", f"""WITH {triples('rog_cwq')}, seqs AS (SELECT DISTINCT list_concat(['<PATH>'], list_filter(string_split_regex(h || ' ' || r || ' ' || t, '\\s+'), lambda x: x <> ''), ['</PATH>', '</s>']) AS s FROM trip)
+SELECT DISTINCT array_to_string(s[1:i - 1], ' ') AS prefix, s[i] AS next FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM seqs)""")
+def marked_trie(spark: SparkSession, folder: str) -> DataFrame:
+    t = triples_of(spark, folder, "rog_cwq").select(trie.tokens(F.concat_ws(" ", "h", "r", "t"), marked=True).alias("s")).distinct()
+    return trie.build(t, "s")
+
+
+@query("r05_entity_trie", f"""WITH {triples('rog_cwq')}, seqs AS (SELECT DISTINCT list_append(list_filter(string_split_regex(e, '\\s+'), lambda x: x <> ''), '</s>') AS s FROM (SELECT h AS e FROM trip UNION SELECT t FROM trip))
+SELECT DISTINCT array_to_string(s[1:i - 1], ' ') AS prefix, s[i] AS next FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM seqs)""")
+def entity_trie(spark: SparkSession, folder: str) -> DataFrame:
+    names = G.entities(triples_of(spark, folder, "rog_cwq"))
+    return trie.build(names.select(trie.tokens(F.col("entity")).alias("s")), "s")
+
+
+@query("x06_answer_prompts", """WITH r AS (SELECT state_id, original_question, unnest(reasoning_path) AS p, generate_subscripts(reasoning_path, 1) AS i FROM traversal_states WHERE len(reasoning_path) > 0)
+SELECT state_id, 'Can this be answered: ' || coalesce(any_value(original_question), '') || chr(10) || string_agg(i || '. ' || p, chr(10) ORDER BY i) AS prompt FROM r WHERE p IS NOT NULL GROUP BY state_id""")
+def answer_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    from tripleloom.functions.text import fill_template
+
+    s = load(spark, folder, "traversal_states").where(F.size(F.filter("reasoning_path", lambda p: p.isNotNull())) > 0)
+    lines = F.array_join(F.filter(F.transform("reasoning_path", lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), lambda x: x.isNotNull()), "\n")
+    return s.select("state_id", fill_template("Can this be answered: {q}\n{paths}", q=F.col("original_question"), paths=lines).alias("prompt"))

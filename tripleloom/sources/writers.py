@@ -95,3 +95,9 @@ def table_readme(df: DataFrame, title: str) -> str:
     """A Markdown text that lists a table's columns."""
     rows = [f"| `{f.name}` | {f.dataType.simpleString()} | {'yes' if f.nullable else 'no'} |" for f in df.schema.fields]
     return "\n".join([f"# {title}", "", "| column | type | may be null |", "|---|---|---|", *rows]) + "\n"
+
+
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A table bucketed and sorted by ``key``: lookups and joins on it need no shuffle, as an index would save a scan."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
