@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.paths import PATH_TYPE
 from tripleloom.functions.words import BLANKS
+from tripleloom.session import spread
 
 Step = tuple[str, str, str]
 Path = tuple[Step, ...]
@@ -215,7 +216,8 @@ def search(
             yield flush()
 
     schema = f"key {kind}, path {PATH_TYPE}" + (f", {more}" if more else "")
-    return rows.select(F.col(key).alias("key"), F.col(graph).alias("graph"), *(F.col(c).alias(f"using{k}") for k, c in enumerate(using))).mapInArrow(run, schema).withColumnRenamed("key", key)
+    narrow = rows.select(F.col(key).alias("key"), F.col(graph).alias("graph"), *(F.col(c).alias(f"using{k}") for k, c in enumerate(using)))
+    return spread(narrow).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def edges(rows: DataFrame, undirected: bool = False, **columns: str) -> DataFrame:

@@ -48,3 +48,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has slots.
+
+    For work on rows that costs far more than moving them, where a small table's few files would
+    leave most cores idle.  A table with enough splits is not touched; nor is the result of a
+    shuffle, whose partitions Spark sizes itself."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    return df.repartition(slots) if plan.toRdd().getNumPartitions() < slots else df
