@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tripleloom.session import spread
+
 #: Where the public tokenizers' files are; only a default.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the published pattern that splits text before the merges.
@@ -183,7 +185,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
                 ids = [encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(df[key].alias("key"), df[text].alias("text"))).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str, path: str = TOKENIZER) -> DataFrame:
@@ -196,4 +198,4 @@ def count_tokens(df: DataFrame, keep: list[str], text: str, path: str = TOKENIZE
             n = [len(encode(t)) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
-    return df.select(*keep, df[text]).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens long")
+    return spread(df.select(*keep, df[text])).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", tokens long")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.session import spread
+
 #: Fixed value: a word is an unbroken run of letters and digits.
 find_words = re.compile(r"[^\W_]+").findall
 K1, B, BLOCK = 1.2, 0.75, 32
@@ -142,7 +144,7 @@ def leaked_items(
     """
     spark = passages.sparkSession
     kinds = dict(passages.dtypes)
-    narrow = passages.select(*key, text)
+    narrow = spread(passages.select(*key, text))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", item_id {dict(items.dtypes)[item_id]}"
     ordered = items.select(item_id, question).where(F.size(F.split(F.trim(question), r"\s+")) > 0)
     total = ordered.count()
