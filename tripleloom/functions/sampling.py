@@ -12,4 +12,4 @@ def seeded(seed: str, *keys: Column) -> Column:
 
 def shuffled(items: Column, seed: str, *keys: Column) -> Column:
     """A list in seeded order."""
-    return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(seeded(seed, *keys, x).alias("k"), x.alias("x")))), lambda s: s["x"])
+    return F.transform(F.sort_array(F.transform(items, lambda x: F.struct(seeded(seed, *keys, x).alias("k"), x.alias("x")))), lambda s: s["x"])

@@ -118,7 +118,7 @@ def safe_file_name(text: Column) -> Column:
 def rendered_options(relations: Column, style: str) -> Column:
     """Sorted distinct relations, one a line: ``one`` [REL1] r, ``zero`` [REL_0] r, ``bare`` r."""
     tags = {"one": lambda x, i: F.concat(F.lit("[REL"), (i + 1).cast("string"), F.lit("] "), x), "zero": lambda x, i: F.concat(F.lit("[REL_"), i.cast("string"), F.lit("] "), x), "bare": lambda x, i: x}
-    return F.array_join(F.transform(F.array_sort(F.array_distinct(relations)), tags[style]), "\n")
+    return F.array_join(F.transform(F.sort_array(F.array_distinct(relations)), tags[style]), "\n")
 
 
 def approximate_tokens(text: Column, measure: str = "words") -> Column:

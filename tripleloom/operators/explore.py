@@ -21,11 +21,14 @@ def first_by_name(options: DataFrame, k: int) -> DataFrame:
 def expansion_round(frontier: DataFrame, kg: DataFrame, k: int, selector: Selector = first_by_name) -> DataFrame:
     """``(qid, entity, r, t)``: what a round sees from ``frontier(qid, entity)``: all relations of a node
     that has at most ``k``, else those the selector takes; relations without targets are skipped."""
-    edges = kg.select(F.col("h").alias("entity"), "r", "t")
-    options = frontier.distinct().join(edges.select("entity", "r").distinct(), "entity").select("qid", "entity", "r")
-    counted = options.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("qid", "entity")))
-    chosen = counted.where(F.col("m") <= k).drop("m").unionByName(selector(counted.where(F.col("m") > k).drop("m"), k))
-    return chosen.join(edges, ["entity", "r"]).select("qid", "entity", "r", "t").distinct()
+    edges = kg.select(F.col("h").alias("entity"), "r", "t").distinct()
+    relations = edges.select("entity", "r").distinct()
+    # relations are counted per node, not per question, and distinct edges keep the result distinct
+    few = relations.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
+    asked = frontier.select("qid", "entity").distinct().join(few, "entity")
+    option = lambda some: some.select("qid", "entity").join(relations, "entity").select("qid", "entity", "r")
+    chosen = option(asked.where(F.col("m") <= k)).unionByName(selector(option(asked.where(F.col("m") > k)), k))
+    return chosen.join(edges, ["entity", "r"]).select("qid", "entity", "r", "t")
 
 
 def explore(starts: DataFrame, kg: DataFrame, answers: DataFrame, rounds: int, k: int, selector: Selector = first_by_name) -> DataFrame:

@@ -127,7 +127,7 @@ def mediator_groups(steps: DataFrame) -> DataFrame:
     """``(qid, h, r, structure, members, representative)``: mediators that one relation of a node leads
     to and whose outgoing edges are the same, as one group with its smallest as representative."""
     out = steps.where(is_mediator(F.col("h"))).groupBy("qid", F.col("h").alias("m")).agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws("=>", "r", "t"))), "; ").alias("structure")
+        F.array_join(F.sort_array(F.collect_set(F.concat_ws("=>", "r", "t"))), "; ").alias("structure")
     )
     reached = steps.where(is_mediator(F.col("t"))).select("qid", "h", "r", F.col("t").alias("m")).distinct()
     return (
@@ -139,7 +139,7 @@ def mediator_groups(steps: DataFrame) -> DataFrame:
 
 def deduplicated_expansions(paths: DataFrame, keys: list[str], merged: str) -> DataFrame:
     """One row for each of ``keys`` with the sorted distinct values of the list column ``merged``."""
-    return paths.select(*keys, F.explode_outer(merged).alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_set("x")).alias(merged))
+    return paths.select(*keys, F.explode_outer(merged).alias("x")).groupBy(*keys).agg(F.sort_array(F.collect_set("x")).alias(merged))
 
 
 def numbered_nodes(steps: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.functions.words import stripped
+from tripleloom.session import spread
+
 
 @dataclass(frozen=True)
 class Merged:
@@ -84,14 +87,12 @@ def entity_loads(rows: DataFrame, entities: str = "q_entity", graph: str = "grap
     Null and empty lists, null, blank and padded members are allowed: names are stripped and
     blanks left out.  A triple is valid if h, r and t are all non-blank; repeats count.
     """
-    from tripleloom.functions.words import stripped
-
     names = F.array_distinct(F.filter(F.transform(F.col(entities), stripped), lambda x: x != ""))
     heads = F.transform(
         F.filter(F.col(graph), lambda x: (stripped(x["h"]) != "") & (stripped(x["r"]) != "") & (stripped(x["t"]) != "")),
         lambda x: stripped(x["h"]),
     )
-    narrow = rows.select(names.alias("names"), heads.alias("heads"))
+    narrow = spread(rows.select(entities, graph)).select(names.alias("names"), heads.alias("heads"))
     pairs = narrow.select(
         F.explode(
             F.concat(

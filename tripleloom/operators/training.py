@@ -52,7 +52,7 @@ def combined_negatives(perturbed_paths: DataFrame, truncated_paths: DataFrame, k
 
 def path_items(pairs: DataFrame, key: str, shortest: DataFrame, negatives: DataFrame) -> DataFrame:
     """``(<key>, positive_paths, negative_paths)``; items with neither are left out."""
-    lists = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_set("path")).alias(name))
+    lists = lambda df, name: df.groupBy(key).agg(F.sort_array(F.collect_set("path")).alias(name))
     out = pairs.select(key).distinct().join(lists(shortest, "positive_paths"), key, "left").join(lists(negatives, "negative_paths"), key, "left")
     empty = F.array().cast(LIST)
     out = out.withColumns({c: F.coalesce(c, empty) for c in ("positive_paths", "negative_paths")})
@@ -72,7 +72,7 @@ def decision_points(items: DataFrame, key: str, positive: str, negative: str) ->
     point of the positive paths; a point that stands in several paths counts once."""
     pos, neg = choices(items, key, positive), choices(items, key, negative)
     at = [key, "history", "entity"]
-    gather = lambda df, name: df.groupBy(*at).agg(F.array_sort(F.collect_set("r")).alias(name))
+    gather = lambda df, name: df.groupBy(*at).agg(F.sort_array(F.collect_set("r")).alias(name))
     return gather(pos, "pos").join(gather(neg, "neg"), at, "left").withColumn("neg", F.coalesce("neg", F.array().cast(LIST)))
 
 
@@ -81,13 +81,13 @@ def candidate_pool(points: DataFrame, strategy: str = "pn_only", kg: DataFrame |
     ``pn_kg_supplement`` the known ones and ``distractors`` others of the node in seeded order."""
     known = F.array_union("pos", "neg")
     if strategy == "pn_only" or kg is None:
-        return points.withColumn("pool", F.array_sort(known))
-    of_node = kg.groupBy(F.col("h").alias("entity")).agg(F.array_sort(F.collect_set("r")).alias("kg_rs"))
+        return points.withColumn("pool", F.sort_array(known))
+    of_node = kg.groupBy(F.col("h").alias("entity")).agg(F.sort_array(F.collect_set("r")).alias("kg_rs"))
     p = points.join(of_node, "entity", "left").withColumn("kg_rs", F.coalesce("kg_rs", F.array().cast(LIST)))
     if strategy == "kg_allhop":
-        return p.withColumn("pool", F.array_sort(F.array_union(known, F.col("kg_rs")))).drop("kg_rs")
+        return p.withColumn("pool", F.sort_array(F.array_union(known, F.col("kg_rs")))).drop("kg_rs")
     other = F.slice(shuffled(F.array_except("kg_rs", known), seed, F.col("entity")), 1, max(1, distractors)) if distractors else F.array().cast(LIST)
-    return p.withColumn("pool", F.array_sort(F.array_union(known, other))).drop("kg_rs")
+    return p.withColumn("pool", F.sort_array(F.array_union(known, other))).drop("kg_rs")
 
 
 def limited_pool(points: DataFrame, threshold: int, version: int, distractors: int = 10, seed: str = "cut") -> DataFrame:
@@ -96,18 +96,18 @@ def limited_pool(points: DataFrame, threshold: int, version: int, distractors: i
     known = F.array_union("pos", "neg")
     others = shuffled(F.array_except("pool", known), seed, F.col("entity"), F.col("history"))
     room = F.lit(distractors) if version == 1 else F.greatest(F.lit(threshold) - F.size(known), F.lit(0))
-    cut = F.array_sort(F.array_union(known, F.when(room > 0, F.slice(others, F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.array().cast(LIST))))
+    cut = F.sort_array(F.array_union(known, F.when(room > 0, F.slice(others, F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.array().cast(LIST))))
     return points.withColumn("pool", F.when(F.size("pool") > threshold, cut).otherwise(F.col("pool")))
 
 
 def preference_v1(points: DataFrame, most: int) -> DataFrame:
     """Adds newline-joined ``chosen`` and ``rejected``: the first gold relations of the pool; the wrong ones
     known, topped up with other options; rows where one is empty or both are equal are dropped."""
-    chosen = F.slice(F.array_sort(F.array_intersect("pos", "pool")), 1, most)
+    chosen = F.slice(F.sort_array(F.array_intersect("pos", "pool")), 1, most)
     wrong = F.array_except(F.array_intersect("neg", "pool"), F.col("c"))
-    others = F.array_sort(F.array_except(F.array_except("pool", F.col("c")), wrong))
-    topped = F.slice(F.concat(F.slice(F.array_sort(wrong), 1, most), others), 1, most)
-    out = points.withColumn("c", chosen).withColumn("w", F.array_sort(topped))
+    others = F.sort_array(F.array_except(F.array_except("pool", F.col("c")), wrong))
+    topped = F.slice(F.concat(F.slice(F.sort_array(wrong), 1, most), others), 1, most)
+    out = points.withColumn("c", chosen).withColumn("w", F.sort_array(topped))
     out = out.where((F.size("c") > 0) & (F.size("w") > 0) & (F.col("c") != F.col("w")))
     return out.withColumn("chosen", F.array_join("c", "\n")).withColumn("rejected", F.array_join("w", "\n")).drop("c", "w")
 
@@ -115,8 +115,8 @@ def preference_v1(points: DataFrame, most: int) -> DataFrame:
 def preference_v2(points: DataFrame, negatives: int = 3, seed: str = "v2") -> DataFrame:
     """Adds the lists ``chosen`` (all gold of the pool) and ``rejected`` (the rest), tagged ``[RELi] r`` by place
     in the pool, after the known wrong relations are cut to ``negatives`` in seeded order."""
-    few = F.array_sort(F.slice(shuffled(F.array_except("neg", "pos"), seed, F.col("entity"), F.col("history")), 1, negatives))
-    pool = F.array_sort(F.array_union(F.array_except("pool", F.array_except("neg", F.array_union("pos", few))), few))
+    few = F.sort_array(F.slice(shuffled(F.array_except("neg", "pos"), seed, F.col("entity"), F.col("history")), 1, negatives))
+    pool = F.sort_array(F.array_union(F.array_except("pool", F.array_except("neg", F.array_union("pos", few))), few))
     p = points.withColumn("opts", pool)
     tag = lambda keep: F.filter(F.transform("opts", lambda r, i: F.when(keep(r), F.concat(F.lit("[REL"), (i + 1).cast("string"), F.lit("] "), r))), lambda x: x.isNotNull())
     gold = lambda r: F.array_contains(F.col("pos"), r)
@@ -126,8 +126,8 @@ def preference_v2(points: DataFrame, negatives: int = 3, seed: str = "v2") -> Da
 
 def preference_naive(points: DataFrame, most: int, seed: str = "naive") -> DataFrame:
     """As version 1 without options in the prompt: topped up in seeded order rather than sorted."""
-    chosen = F.slice(F.array_sort(F.array_intersect("pos", "pool")), 1, most)
-    wrong = F.array_sort(F.array_except(F.array_intersect("neg", "pool"), F.col("c")))
+    chosen = F.slice(F.sort_array(F.array_intersect("pos", "pool")), 1, most)
+    wrong = F.sort_array(F.array_except(F.array_intersect("neg", "pool"), F.col("c")))
     others = shuffled(F.array_except(F.array_except("pool", F.col("c")), wrong), seed, F.col("entity"), F.col("history"))
     out = points.withColumn("c", chosen).withColumn("w", F.slice(F.concat(wrong, others), 1, most))
     out = out.where((F.size("c") > 0) & (F.size("w") > 0) & (F.col("c") != F.col("w")))
@@ -136,7 +136,7 @@ def preference_naive(points: DataFrame, most: int, seed: str = "naive") -> DataF
 
 def sft_completions(points: DataFrame, most: int, tagged: bool = True) -> DataFrame:
     """Adds ``completion``: the first gold relations of the pool, tagged ``[REL_i] r`` from 0 by place in the pool or bare."""
-    kept = F.slice(F.array_sort(F.array_intersect("pos", "pool")), 1, most)
+    kept = F.slice(F.sort_array(F.array_intersect("pos", "pool")), 1, most)
     tag = lambda pool, r: F.concat(F.lit("[REL_"), (F.array_position(pool, r) - 1).cast("string"), F.lit("] "), r)
     lines = let(F.col("pool"), lambda pool: F.transform("k", lambda r: tag(pool, r))) if tagged else F.col("k")
     return points.withColumn("k", kept).where(F.size("k") > 0).withColumn("completion", F.array_join(lines, "\n")).drop("k")

@@ -80,7 +80,7 @@ def mediators(spark: SparkSession, folder: str) -> DataFrame:
 SELECT qid, {med('e')} AS is_coded, count(*) AS n, string_agg(e, '|' ORDER BY e) AS names FROM n GROUP BY ALL""")
 def named_and_coded(spark: SparkSession, folder: str) -> DataFrame:
     nodes = triples_of(spark, folder).select("qid", F.explode(F.array("h", "t")).alias("e"))
-    return nodes.groupBy("qid", G.is_mediator(F.col("e")).alias("is_coded")).agg(F.count_distinct("e").alias("n"), F.array_join(F.array_sort(F.collect_set("e")), "|").alias("names"))
+    return nodes.groupBy("qid", G.is_mediator(F.col("e")).alias("is_coded")).agg(F.count_distinct("e").alias("n"), F.array_join(F.sort_array(F.collect_set("e")), "|").alias("names"))
 
 
 @query("proj15_options", f"""WITH {triples('rog_webqsp')}, d AS (SELECT DISTINCT qid, r FROM trip), n AS (SELECT qid, r, row_number() OVER (PARTITION BY qid ORDER BY r) AS i FROM d)

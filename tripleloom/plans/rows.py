@@ -221,7 +221,7 @@ def walk_items(spark: SparkSession, folder: str) -> DataFrame:
     ends = rows.select("qid", F.explode(G.start_entities(F.col("a_entity"))).alias("end")).withColumn("good", F.lit(True))
     found = walks.walks(rows, 2, key="qid").withColumn("end", F.element_at("path", -1)["t"]).join(ends, ["qid", "end"], "left")
     texts = found.select("qid", P.steps_text(F.col("path")).alias("path"), F.coalesce("good", F.lit(False)).alias("good"))
-    gather = lambda good: F.array_sort(F.collect_set(F.when(F.col("good") == good, F.col("path"))))
+    gather = lambda good: F.sort_array(F.collect_set(F.when(F.col("good") == good, F.col("path"))))
     return texts.groupBy("qid").agg(gather(True).alias("positive_paths"), gather(False).alias("negative_paths"))
 
 
@@ -388,7 +388,7 @@ def cumulative_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("a16_sorted_candidates", f"WITH {triples('rog_webqsp')} SELECT qid, h, array_to_string(list_sort(list(DISTINCT r)), '|') AS relations FROM trip GROUP BY qid, h")
 def sorted_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return triples_of(spark, folder).groupBy("qid", "h").agg(F.array_join(F.array_sort(F.collect_set("r")), "|").alias("relations"))
+    return triples_of(spark, folder).groupBy("qid", "h").agg(F.array_join(F.sort_array(F.collect_set("r")), "|").alias("relations"))
 
 
 # -- tries
@@ -411,7 +411,7 @@ def trie_steps(spark: SparkSession, folder: str) -> DataFrame:
 def allowed_tokens(spark: SparkSession, folder: str) -> DataFrame:
     s = sequences(spark, folder)
     found = trie.allowed(trie.build(s, "s"), s.select(F.element_at("s", 1).alias("prefix")))
-    return found.groupBy("prefix").agg(F.array_join(F.array_sort(F.collect_set("next")), "|").alias("allowed"))
+    return found.groupBy("prefix").agg(F.array_join(F.sort_array(F.collect_set("next")), "|").alias("allowed"))
 
 
 @query("r04_trie_sizes", f"{RW} SELECT (SELECT count(*) FROM truth WHERE hops > 0) AS inserted, (SELECT count(*) FROM seqs) AS \"distinct\"")
@@ -595,14 +595,14 @@ def sorted_triples(spark: SparkSession, folder: str) -> DataFrame:
 @query("o04_cut_lists", f"SELECT row_id, array_to_string(list_sort(list_filter(list_transform(a_entity, lambda x: {strip('x')}), lambda x: x <> ''))[1:2], '|') AS kept FROM rog_webqsp WHERE a_entity IS NOT NULL")
 def cut_lists(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "rog_webqsp").where("a_entity IS NOT NULL")
-    return rows.select("row_id", F.array_join(F.slice(F.array_sort(G.entity_list(F.col("a_entity"))), 1, 2), "|").alias("kept"))
+    return rows.select("row_id", F.array_join(F.slice(F.sort_array(G.entity_list(F.col("a_entity"))), 1, 2), "|").alias("kept"))
 
 
 @query("o05_ordered_rounds", """WITH r AS (SELECT state_id, unnest(exploration_trace) AS d, generate_subscripts(exploration_trace, 1) AS i FROM traversal_states)
 SELECT state_id, string_agg(coalesce(d.entity, '?'), ' > ' ORDER BY coalesce(d.round_num, -1), i) AS entities FROM r WHERE d IS NOT NULL GROUP BY state_id""")
 def ordered_rounds(spark: SparkSession, folder: str) -> DataFrame:
     keyed = F.transform(F.filter("exploration_trace", lambda d: d.isNotNull()), lambda d, i: F.struct(F.coalesce(d["round_num"], F.lit(-1)).alias("n"), i.alias("i"), F.coalesce(d["entity"], F.lit("?")).alias("e")))
-    s = load(spark, folder, "traversal_states").select("state_id", F.array_sort(keyed).alias("r")).where(F.size("r") > 0)
+    s = load(spark, folder, "traversal_states").select("state_id", F.sort_array(keyed).alias("r")).where(F.size("r") > 0)
     return s.select("state_id", F.array_join(F.transform("r", lambda x: x["e"]), " > ").alias("entities"))
 
 
@@ -613,7 +613,7 @@ SETS = f"""sd AS (SELECT row_id, coalesce(list_filter(list_transform(a_entity, l
 len(list_distinct(list_concat(a, b)))::INT AS either, list_has_all(a, b) AND list_has_all(b, a) AS equal FROM sd""")
 def set_operations(spark: SparkSession, folder: str) -> DataFrame:
     s = load(spark, folder, "rog_webqsp").select("row_id", G.entity_list(F.col("a_entity")).alias("a"), G.entity_list(F.col("answer")).alias("b"))
-    equal = F.array_sort(F.array_distinct("a")) == F.array_sort(F.array_distinct("b"))
+    equal = F.sort_array(F.array_distinct("a")) == F.sort_array(F.array_distinct("b"))
     return s.select("row_id", F.size(F.array_intersect("a", "b")).alias("both_"), F.size(F.array_except("a", "b")).alias("only_a"), F.size(F.array_union("a", "b")).alias("either"), equal.alias("equal"))
 
 
