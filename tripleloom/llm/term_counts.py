@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.functions.binding import let
 from tripleloom.functions.words import stripped
+from tripleloom.session import spread
 
 
 def triple_terms(rows: DataFrame, row: str = "row_id", graph: str = "graph") -> DataFrame:
@@ -26,34 +28,19 @@ def triple_terms(rows: DataFrame, row: str = "row_id", graph: str = "graph") ->
         F.transform(F.col(graph), lambda x: F.struct(stripped(x["h"]).alias("h"), stripped(x["r"]).alias("r"), stripped(x["t"]).alias("t"))),
         lambda x: (x["h"] != "") & (x["r"] != "") & (x["t"] != ""),
     )
-    terms = rows.select(F.col(row).alias("row"), valid.alias("v")).select(
-        "row",
-        F.concat(
-            F.transform("v", lambda x: F.struct(F.lit("entity").alias("kind"), x["h"].alias("term"))),
-            F.transform("v", lambda x: F.struct(F.lit("entity").alias("kind"), x["t"].alias("term"))),
-            F.transform("v", lambda x: F.struct(F.lit("relation").alias("kind"), x["r"].alias("term"))),
-        ).alias("terms"),
-    )
-    # equal neighbours of the sorted list of one row; the list is as long as the row's graph
-    ordered = terms.select("row", F.array_sort("terms").alias("terms"))
-    first = F.filter(
-        F.transform("terms", lambda x, i: F.when((i == 0) | (x != F.col("terms")[F.greatest(i - 1, F.lit(0))]), i)),
-        lambda i: i.isNotNull(),
-    )
-    starts = ordered.select("row", "terms", first.alias("starts"))
-    return starts.select(
-        "row",
-        F.inline(
-            F.transform(
-                "starts",
-                lambda s, k: F.struct(
-                    F.col("terms")[s]["kind"].alias("kind"),
-                    F.col("terms")[s]["term"].alias("term"),
-                    (F.coalesce(F.get("starts", k + 1), F.size("terms")) - s).cast("long").alias("occ"),
-                ),
-            )
-        ),
-    ).select("kind", "term", "row", "occ")
+    part = lambda kind, c: F.transform("v", lambda x: F.struct(F.lit(kind).alias("kind"), x[c].alias("term")))
+    terms = F.sort_array(F.concat(part("entity", "h"), part("entity", "t"), part("relation", "r")))
+
+    def counted(ts: Column) -> Column:
+        """The runs of the sorted list of one row, which is as long as the row's graph."""
+        begins = F.filter(F.transform(ts, lambda x, i: F.when((i == 0) | (x != F.get(ts, i - 1)), i)), lambda i: i.isNotNull())
+        run = lambda bs: F.transform(
+            bs,
+            lambda b, k: F.struct(F.get(ts, b)["kind"].alias("kind"), F.get(ts, b)["term"].alias("term"), (F.coalesce(F.get(bs, k + 1), F.size(ts)) - b).cast("long").alias("occ")),
+        )
+        return let(begins, run)
+
+    return spread(rows.select(row, graph)).select(F.col(row).alias("row"), valid.alias("v")).select("row", F.inline(let(terms, counted))).select("kind", "term", "row", "occ")
 
 
 def term_counts(pairs: DataFrame) -> DataFrame:
