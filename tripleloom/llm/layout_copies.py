@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.words import letters_and_digits
 from tripleloom.operators.sorted_runs import run_members
+from tripleloom.session import spread
 
 #: The escapes of a JSON string, of which no letter is part of the text; separators no text holds.
 JSON_ESCAPE = r'\\(["\\/bfnrt]|u[0-9a-fA-F]{4})'
@@ -23,7 +24,7 @@ def canonical_object(text: Column) -> Column:
     """A JSON object as its members in the order of their names, each value in letters and digits; null if
     the text isn't one object and nothing else."""
     read = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})  # a list of it is malformed if anything follows
-    members = F.array_sort(F.map_entries(F.when(F.ltrim(text).startswith("{") & (F.size(read) == 1), F.get(read, F.lit(0)))))
+    members = F.sort_array(F.map_entries(F.when(F.ltrim(text).startswith("{") & (F.size(read) == 1), F.get(read, F.lit(0)))))
     value = lambda m: letters_and_digits(F.regexp_replace(m["value"], JSON_ESCAPE, " "))
     return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(m["key"], F.lit("="), value(m))), MEMBER))
 
@@ -46,7 +47,7 @@ def copy_runs(df: DataFrame, row: str, exact: Sequence[str], text: Sequence[str]
     their order; braces that are no JSON are plain text.  ``row`` is unique; rows where it is
     null can't be named in a pair and are left out.  Other columns are ignored.
     """
-    known = df.where(F.col(row).isNotNull())
+    known = spread(df.select(row, *exact, *text).where(F.col(row).isNotNull()))
     return run_members(known, canonical_key(exact, text, objects), row).select(F.col("first").alias("keep_row"), F.col("row").alias("copy_row"))
 
 
