@@ -23,7 +23,7 @@ BUCKETS = 65_536
 def word_sets(rows: DataFrame, row: str, question: str, train: Column, held_out: Column) -> DataFrame:
     """``(row, sid, key, train, held_out)``: rows of either side; ``key`` is the sorted set of words,
     ``sid`` its digest, which stands for it wherever the words themselves aren't needed."""
-    key = F.array_join(F.array_sort(F.array_distinct(words(F.col(question)))), " ")
+    key = F.array_join(F.sort_array(F.array_distinct(words(F.col(question)))), " ")
     narrow = rows.select(F.col(row).alias("row"), key.alias("key"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return narrow.where((F.col("key") != "") & (F.col("train") | F.col("held_out"))).withColumn("sid", F.unhex(F.md5("key")))
 
