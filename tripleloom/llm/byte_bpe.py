@@ -144,7 +144,7 @@ class ByteBpe:
         for p in PIECES.findall(text):
             ids = known.get(p)
             if ids is None:
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED or len(self._fits) > 2 * REMEMBERED:
                     known.clear()
                     self._fits.clear()
                 ids = tuple(self.encode_piece(p.encode("utf-8", "replace")))
