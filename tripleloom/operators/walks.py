@@ -3,7 +3,7 @@
 A question's graph stands in one row, so it is searched there, a batch of Arrow rows at a time:
 no hop shuffles, and a hop costs what it finds.  Triples are stripped, invalid ones left out, and
 of triples with equal h and t the last one holds; ``undirected`` keeps one relation per pair of
-nodes and goes both ways.  Null and empty graphs have no paths.
+nodes and goes both ways, ``parallel`` keeps every relation.  Null and empty graphs have no paths.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ Found = Iterable[tuple[Path, tuple]]
 class QuestionGraph:
     """One row's graph in memory."""
 
-    def __init__(self, steps: Iterable[Step], undirected: bool = False) -> None:
-        last: dict[tuple[str, str], Step] = {}
+    def __init__(self, steps: Iterable[Step], undirected: bool = False, parallel: bool = False) -> None:
+        last: dict[tuple[str, ...], Step] = {}
         for s in steps:
             pair = (s[0], s[2]) if not undirected or s[0] <= s[2] else (s[2], s[0])
+            if parallel:
+                pair = (*pair, s[1])
             last.pop(pair, None)
             last[pair] = s
         self.edges = list(last.values())
@@ -104,18 +106,23 @@ class QuestionGraph:
             at = path[-1][2]
         return tuple(path)
 
-    def leaves(self, starts: Sequence[str], longest: int) -> Iterator[Path]:
-        """Paths to where nothing goes on, back to a node of the path, or to the bound."""
-        level = [((s,), frozenset(s[::2]), s[0] == s[2]) for a in dict.fromkeys(starts) for s in self.out.get(a, ())]
-        for k in range(longest):
-            further = []
-            for p, seen, closed in level:
-                options = self.out.get(p[-1][2])
-                if closed or not options or k + 1 == longest:
-                    yield p
+    def leaves(self, starts: Sequence[str], longest: float = math.inf) -> Iterator[Path]:
+        """Paths to where nothing goes on, back to a node of the path, or to the bound; depth first."""
+        for a in dict.fromkeys(starts):
+            path: list[Step] = []
+            seen, line = {a}, [iter(self.out.get(a, ()))]
+            while line:
+                s = next(line[-1], None)
+                if s is None:
+                    line.pop()
+                    if path:
+                        seen.discard(path.pop()[2])
+                elif s[2] in seen or not self.out.get(s[2]) or len(path) + 1 >= longest:
+                    yield (*path, s)
                 else:
-                    further += [((*p, s), seen | {s[2]}, s[2] in seen) for s in options]
-            level = further
+                    path.append(s)
+                    seen.add(s[2])
+                    line.append(iter(self.out[s[2]]))
 
     def searched(self, start: str, end: str, rng: Random, iterations: int, rollout: int) -> Path:
         """The shortest path that Monte Carlo tree search (UCB1, random rollouts) comes upon; empty if none."""
@@ -185,6 +192,7 @@ def search(
     using: Sequence[str] = (),
     more: str = "",
     undirected: bool = False,
+    parallel: bool = False,
 ) -> DataFrame:
     """``(<key>, path, <more>)``: what ``find(graph, key, *using)`` yields for each row, as ``(path, more values)``."""
     kind = dict(rows.dtypes)[key]
@@ -205,14 +213,14 @@ def search(
             for i, (steps, row) in enumerate(zip(_steps(b.column(1)), inputs)):
                 if not steps:
                     continue
-                for path, values in find(QuestionGraph(steps, undirected), *row):
+                for path, values in find(QuestionGraph(steps, undirected, parallel), *row):
                     at.append(i)
                     paths.append(path)
                     for v, x in zip(rest, values):
                         v.append(x)
-                if len(at) >= 50_000:  # a row with many paths doesn't wait for its batch
-                    yield flush()
-                    at, paths, rest = [], [], [[] for _ in extra]
+                    if len(at) >= 50_000:  # a row with many paths doesn't wait for its end
+                        yield flush()
+                        at, paths, rest = [], [], [[] for _ in extra]
             yield flush()
 
     schema = f"key {kind}, path {PATH_TYPE}" + (f", {more}" if more else "")
@@ -282,12 +290,7 @@ def searched_paths(
     return search(rows, find, using=[starts, ends], more="s string, t string", **columns)
 
 
-def leaf_paths(rows: DataFrame, longest: int, **columns: str) -> DataFrame:
-    """``(<key>, path)``: from each node that nothing leads to, the paths to where nothing goes on; a path
-    that comes back to one of its nodes ends there, one of ``longest`` steps at the bound."""
-
-    def find(g: QuestionGraph, _: object) -> Iterator[tuple[Path, tuple]]:
-        reached = {t for h, _, t in g.edges if h != t}
-        return ((p, ()) for p in g.leaves([h for h, _, _ in g.edges if h not in reached], longest))
-
-    return search(rows, find, **columns)
+def leaf_paths(rows: DataFrame, starts: str = "q_entity", **columns: str) -> DataFrame:
+    """``(<key>, path)``: from each start over every relation, the paths to where nothing goes on; a path
+    that comes back to one of its nodes ends there, so all end without a bound."""
+    return search(rows, lambda g, _, s: ((p, ()) for p in g.leaves(_names(s))), using=[starts], parallel=True, **columns)

@@ -341,11 +341,12 @@ TRACE = f"""edge AS (SELECT state_id, s, arg_max(r, p) AS r, t FROM (
 
 
 def trace_graphs(spark: SparkSession, folder: str) -> DataFrame:
-    """``(qid, graph)``: what each traversal explored, as triples."""
+    """``(qid, graph, starts)``: what each traversal explored, as triples, and the entities of its first round."""
     relation = lambda d: F.transform(d["relations"], lambda l: F.transform(l["targets"], lambda t: F.struct(d["entity"].alias("h"), l["name"].alias("r"), t.alias("t"))))
     flat = lambda lists: F.flatten(F.filter(lists, lambda x: x.isNotNull()))
     graph = flat(F.transform("exploration_trace", lambda d: flat(relation(d))))
-    return load(spark, folder, "traversal_states").select(F.col("state_id").alias("qid"), graph.alias("graph"))
+    starts = F.transform(F.filter("exploration_trace", lambda d: d["round_num"] == 1), lambda d: d["entity"])
+    return load(spark, folder, "traversal_states").select(F.col("state_id").alias("qid"), graph.alias("graph"), starts.alias("starts"))
 
 
 @query("t18_trace_leaf_paths", f"""WITH RECURSIVE {TRACE},
@@ -356,7 +357,7 @@ p(state_id, here, hops, path, seen, closed) AS (
   FROM p JOIN edge e ON e.state_id = p.state_id AND e.s = p.here WHERE NOT p.closed AND p.hops < 6)
 SELECT state_id, hops::INT AS hops, path FROM p WHERE closed OR hops = 6 OR NOT EXISTS (FROM edge e WHERE e.state_id = p.state_id AND e.s = p.here)""")
 def trace_leaf_paths(spark: SparkSession, folder: str) -> DataFrame:
-    found = walks.leaf_paths(trace_graphs(spark, folder), 6, key="qid")
+    found = walks.leaf_paths(trace_graphs(spark, folder), "starts", key="qid")
     return found.select(F.col("qid").alias("state_id"), F.size("path").alias("hops"), P.arrow_text(F.col("path")).alias("path"))
 
 
