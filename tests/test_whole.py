@@ -1,18 +1,31 @@
 """Queries that do the whole job, against the reference's rule where the registered SQL does less."""
 
+from collections import defaultdict
+from hashlib import md5
+
 import pyarrow.parquet as pq
 
 from tests.oracle import FOLDER
 from tripleloom.operators import walks
 from tripleloom.operators.walks import QuestionGraph
 from tripleloom.plans import load_all
+from tripleloom.plans.graph import clean
 from tripleloom.plans.registry import QUERIES
+from tripleloom.plans.rows import truth
 
 load_all()
 
 BLANKS = " \t\r\n"
 
 
+def digest(*parts):
+    return md5("|".join(parts).encode()).hexdigest()
+
+
+def text(path):
+    return " ; ".join(f"{h}-[{r}]->{t}" for h, r, t in path)
+
+
 def trace_paths(trace):
     """The reference's recursion from the entities of round 1, each path once."""
     view, starts, found = {}, set(), set()
@@ -58,3 +71,27 @@ def test_trace_leaf_paths_are_the_references(spark):
     }
     got = [(r["state_id"], r["hops"], r["path"]) for r in QUERIES["t18_trace_leaf_paths"](spark, FOLDER).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def replacements(spark):
+    """``{(qid, positive path): [(hop, place, negative path)]}``: two other relations of every hop's node."""
+    tails = defaultdict(lambda: defaultdict(set))
+    for h, r, t in clean(spark, FOLDER).collect():
+        tails[h][r].add(t)
+    ranked = {h: sorted(rs, key=lambda r: (digest("rel", r), r))[:4] for h, rs in tails.items()}
+    found = {}
+    for row in truth(spark, FOLDER).collect():
+        path = tuple(tuple(s) for s in row["path"])
+        out = found[row["qid"], path] = []
+        for i, (h, r, t) in enumerate(path):
+            for n, other in enumerate([x for x in ranked.get(h, []) if x != r][:2]):
+                if fit := tails[h][other] - {row["t"], t}:
+                    out.append((i, n, (*path[:i], (h, other, min(fit, key=lambda x: digest("neg", h, other, x))))))
+    return found
+
+
+def test_every_hop_of_every_path_is_perturbed(spark):
+    want = {(qid, text(p)) for (qid, _), found in replacements(spark).items() for _, _, p in found}
+    got = [tuple(r) for r in QUERIES["n01_perturbed_paths"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(" ; " in p for _, p in got)

@@ -164,7 +164,7 @@ def perturbed(spark: SparkSession, folder: str) -> DataFrame:
     kg = clean(spark, folder)
     order = Window.partitionBy("h").orderBy(seeded("rel", F.col("r")), "r")
     ranked = kg.select("h", "r").distinct().withColumn("rank", F.row_number().over(order))
-    paths = truth(spark, folder).where(F.size("path") == 1).select("qid", F.col("t").alias("answer"), "path").distinct()
+    paths = truth(spark, folder).select("qid", F.col("t").alias("answer"), "path").distinct()
     return training.perturbed(paths, "qid", "path", "answer", kg, ranked, "neg", 2)
 
 
