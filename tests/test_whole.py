@@ -6,7 +6,7 @@ from hashlib import md5
 import pyarrow.parquet as pq
 
 from tests.oracle import FOLDER
-from tripleloom.operators import walks
+from tripleloom.operators import training, walks
 from tripleloom.operators.walks import QuestionGraph
 from tripleloom.plans import load_all
 from tripleloom.plans.graph import clean
@@ -95,3 +95,41 @@ def test_every_hop_of_every_path_is_perturbed(spark):
     got = [tuple(r) for r in QUERIES["n01_perturbed_paths"](spark, FOLDER).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(" ; " in p for _, p in got)
+
+
+STEPS = "array<struct<h:string,r:string,t:string>>"
+
+
+def test_each_positive_path_has_negatives_of_its_own(spark):
+    a, b = ([(s, f"{s}{i}", f"{s}{i + 1}") for i in range(4)] for s in "ab")
+    perturbed = [(1, p, [*p[:i], (p[i][0], f"x{n}", "y")], n) for p in (a, b) for i in range(len(p)) for n in (1, 2)]
+    perturbed = spark.createDataFrame(perturbed, f"id int, origin {STEPS}, path {STEPS}, n int")
+    positive = spark.createDataFrame([(1, a), (1, b)], f"id int, path {STEPS}")
+    cut = training.truncated(positive, "id", "path", 5)
+    got = [(r["strategy"], r["path"][0]) for r in training.combined_negatives(perturbed, cut, "id", 5).collect()]
+    assert sorted(got) == [(0, "a")] * 5 + [(0, "b")] * 5
+    few = training.combined_negatives(perturbed.where("n = 1 AND size(path) = 1"), cut, "id", 5).collect()
+    assert sorted((r["strategy"], r["path"][0], r["path"].count(";")) for r in few) == sorted((k, s, n) for s in "ab" for k, n in [(0, 0), (1, 0), (1, 1), (1, 2)])
+
+
+def wanted_negatives(spark):
+    """``{qid: {negative path: strategy}}`` by the reference's limit of 5 for each positive path."""
+    want = defaultdict(dict)
+    for (qid, path), found in replacements(spark).items():
+        found = sorted(found, key=lambda f: (digest("hop", text(path), str(len(f[2]))), f[1]))
+        both = [(0, text(p)) for _, _, p in found] + [(1, text(path[:k])) for k in range(1, len(path))]
+        for strategy, p in both[:5]:
+            want[qid][p] = min(strategy, want[qid].get(p, 1))
+    return want
+
+
+def test_combined_negatives_are_capped_by_positive_path(spark):
+    want = {(qid, p, k) for qid, found in wanted_negatives(spark).items() for p, k in found.items()}
+    got = [(r["qid"], r["path"], r["strategy"]) for r in QUERIES["n03_combined_negatives"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_path_items_hold_all_negatives_of_their_positive_paths(spark):
+    want = {qid: "|".join(sorted(found)) for qid, found in wanted_negatives(spark).items()}
+    got = {r["qid"]: r["negative_paths"] for r in QUERIES["n04_path_items"](spark, FOLDER).collect()}
+    assert {q: n for q, n in got.items() if n} == want

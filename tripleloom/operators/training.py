@@ -19,17 +19,19 @@ def capped_pairs(rows: DataFrame, key: str, starts: str, ends: str, most: int) -
 
 
 def truncated(paths: DataFrame, key: str, path: str, most: int) -> DataFrame:
-    """``(<key>, path)``: the proper prefixes of each path, at most ``most`` a path, the shortest first."""
+    """``(<key>, origin, path)``: the proper prefixes of each path, at most ``most`` a path, the shortest first."""
     n = F.least(F.size(path) - 1, F.lit(most))
-    return paths.where(F.size(path) > 1).select(key, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(F.col(path), F.lit(1), i))).alias("path"))
+    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(F.col(path), F.lit(1), i))
+    return paths.where(F.size(path) > 1).select(key, F.col(path).alias("origin"), F.explode(prefixes).alias("path"))
 
 
 def perturbed(paths: DataFrame, key: str, path: str, answer: str, kg: DataFrame, ranked: DataFrame, seed: str, top_k: int) -> DataFrame:
-    """``(<key>, path)``: each path with one hop replaced by another relation of the same node.
+    """``(<key>, origin, path, n)``: each path ``origin`` with one hop replaced by another relation of the same node.
 
     ``ranked(h, r, rank)`` orders a node's relations; of the first ``2 * top_k`` the hop's own is
     left out and at most ``top_k`` are taken.  The new tail is the one with the smallest seeded
-    md5 that is neither the answer nor the old tail; the path ends with it.
+    md5 that is neither the answer nor the old tail; the path ends with it.  ``n`` counts the
+    relations taken at the hop.
     """
     hops = paths.select(key, answer, F.col(path).alias("p"), F.posexplode(path).alias("i", "s"))
     options = hops.join(ranked.where(F.col("rank") <= 2 * top_k).select(F.col("h").alias("rh"), F.col("r").alias("rr"), "rank"), F.col("s.h") == F.col("rh")).where(F.col("rr") != F.col("s.r"))
@@ -38,16 +40,22 @@ def perturbed(paths: DataFrame, key: str, path: str, answer: str, kg: DataFrame,
     tails = options.join(kg.select(F.col("h").alias("kh"), F.col("r").alias("kr"), F.col("t").alias("kt")), (F.col("rh") == F.col("kh")) & (F.col("rr") == F.col("kr"))).where(
         (F.col("kt") != F.col(answer)) & (F.col("kt") != F.col("s.t"))
     )
-    chosen = tails.groupBy(key, "p", "i", "rh", "rr").agg(F.min_by("kt", seeded(seed, F.col("rh"), F.col("rr"), F.col("kt"))).alias("t"))
+    chosen = tails.groupBy(key, "p", "i", "rh", "rr", "n").agg(F.min_by("kt", seeded(seed, F.col("rh"), F.col("rr"), F.col("kt"))).alias("t"))
     prefix = F.when(F.col("i") > 0, F.slice("p", F.lit(1), F.greatest("i", F.lit(1)))).otherwise(F.array().cast("array<struct<h:string,r:string,t:string>>"))
-    return chosen.select(key, F.concat(prefix, F.array(F.struct(F.col("rh").alias("h"), F.col("rr").alias("r"), "t"))).alias("path")).distinct()
+    return chosen.select(key, F.col("p").alias("origin"), F.concat(prefix, F.array(F.struct(F.col("rh").alias("h"), F.col("rr").alias("r"), "t"))).alias("path"), "n")
 
 
-def combined_negatives(perturbed_paths: DataFrame, truncated_paths: DataFrame, key: str, most: int) -> DataFrame:
-    """``(<key>, path, strategy)``: both kinds as texts, each once, at most ``most`` a key, perturbed ones first."""
-    tag = lambda df, n: df.select(key, steps_text(F.col("path")).alias("path"), F.lit(n).alias("strategy"))
-    both = tag(perturbed_paths, 0).unionByName(tag(truncated_paths, 1)).groupBy(key, "path").agg(F.min("strategy").alias("strategy"))
-    return both.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("strategy", "path"))).where(F.col("n") <= most).drop("n")
+def combined_negatives(perturbed_paths: DataFrame, truncated_paths: DataFrame, key: str, most: int, seed: str = "hop") -> DataFrame:
+    """``(<key>, path, strategy)``: both kinds as texts, each once a key; each origin gives at most ``most``.
+
+    An origin's perturbed paths come first, its hops in seeded order; its prefixes fill up what is left, the shortest first.
+    """
+    origin = steps_text(F.col("origin"))
+    tag = lambda df, n, *order: df.select(key, origin.alias("origin"), steps_text(F.col("path")).alias("path"), F.lit(n).alias("strategy"), F.struct(*order).alias("turn"))
+    hops = tag(perturbed_paths, 0, seeded(seed, origin, F.size("path")).alias("hop"), F.col("n").alias("n"))
+    both = hops.unionByName(tag(truncated_paths, 1, F.lit("").alias("hop"), F.size("path").alias("n")))
+    kept = both.withColumn("n", F.row_number().over(Window.partitionBy(key, "origin").orderBy("strategy", "turn"))).where(F.col("n") <= most)
+    return kept.groupBy(key, "path").agg(F.min("strategy").alias("strategy"))
 
 
 def path_items(pairs: DataFrame, key: str, shortest: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def perturbed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("n01_perturbed_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED} SELECT DISTINCT qid, h || '-[' || r || ']->' || arg_min(t, md5('neg|' || h || '|' || r || '|' || t)) AS path FROM tails GROUP BY qid, path, h, r")
 def perturbed_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return perturbed(spark, folder).select("qid", P.steps_text(F.col("path")).alias("path"))
+    return perturbed(spark, folder).select("qid", P.steps_text(F.col("path")).alias("path")).distinct()
 
 
 NEGATIVES = f"""pert AS (SELECT DISTINCT qid, h || '-[' || r || ']->' || arg_min(t, md5('neg|' || h || '|' || r || '|' || t)) AS path FROM tails GROUP BY qid, path, h, r), {TRUTH_STEPS},
@@ -179,7 +179,8 @@ negs AS (SELECT qid, path, min(k) AS strategy FROM (SELECT qid, path, 0 AS k FRO
 
 
 def negatives(spark: SparkSession, folder: str) -> DataFrame:
-    return training.combined_negatives(perturbed(spark, folder), training.truncated(truth(spark, folder), "qid", "path", 2), "qid", 3)
+    positive = truth(spark, folder).select("qid", "path").distinct()  # a start or an end may stand in a row once more
+    return training.combined_negatives(perturbed(spark, folder), training.truncated(positive, "qid", "path", 5), "qid", 5)
 
 
 @query("n03_combined_negatives", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED}, {NEGATIVES} SELECT qid, path, strategy FROM negs")
