@@ -9,7 +9,7 @@ from tests.oracle import FOLDER
 from tripleloom.operators import training, walks
 from tripleloom.operators.walks import QuestionGraph
 from tripleloom.plans import load_all
-from tripleloom.plans.graph import clean
+from tripleloom.plans.graph import clean, question_pairs
 from tripleloom.plans.registry import QUERIES
 from tripleloom.plans.rows import truth
 
@@ -133,3 +133,30 @@ def test_path_items_hold_all_negatives_of_their_positive_paths(spark):
     want = {qid: "|".join(sorted(found)) for qid, found in wanted_negatives(spark).items()}
     got = {r["qid"]: r["negative_paths"] for r in QUERIES["n04_path_items"](spark, FOLDER).collect()}
     assert {q: n for q, n in got.items() if n} == want
+
+
+def test_shortest_paths_reach_the_references_depth(spark):
+    out = defaultdict(list)
+    for h, r, t in clean(spark, FOLDER).collect():
+        out[h].append((h, r, t))
+    ends = defaultdict(set)
+    for s, t in question_pairs(spark, FOLDER).collect():
+        if s != t:
+            ends[s].add(t)
+    want = set()
+    for s, ts in ends.items():
+        far, level = {s: 0}, [s]
+        before = defaultdict(list)
+        for depth in range(1, 6):
+            for e in (e for at in level for e in out[at]):
+                if far.setdefault(e[2], depth) == depth:
+                    before[e[2]].append(e)
+            level = [n for n, k in far.items() if k == depth]
+        for t in ts & set(far):
+            paths = [()]
+            for _ in range(far[t]):
+                paths = [(e, *p) for p in paths for e in before[p[0][0] if p else t]]
+            want |= {(s, t, far[t], text(p)) for p in paths}
+    got = [(r["s"], r["t"], r["hops"], r["path"]) for r in QUERIES["t03_shortest_paths"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(hops > 2 for _, _, hops, _ in got)

@@ -193,7 +193,7 @@ def question_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t03_shortest_paths", f"WITH {KG}, {PAIRS}, {SHORTEST} SELECT s, t, hops, path FROM shortest")
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
-    found = shortest.shortest_paths(clean(spark, folder), question_pairs(spark, folder), 2)
+    found = shortest.shortest_paths(clean(spark, folder), question_pairs(spark, folder), 5)
     return found.select("s", "t", F.size("path").alias("hops"), P.steps_text(F.col("path")).alias("path"))
 
 
