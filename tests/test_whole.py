@@ -160,3 +160,9 @@ def test_shortest_paths_reach_the_references_depth(spark):
     got = [(r["s"], r["t"], r["hops"], r["path"]) for r in QUERIES["t03_shortest_paths"](spark, FOLDER).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(hops > 2 for _, _, hops, _ in got)
+
+
+def test_tree_search_looks_as_long_as_the_reference(spark):
+    wide = [("A", "r", f"n{i}") for i in range(300)] + [("n7", "s", "Z")]
+    df = spark.createDataFrame([(i, ["A"], ["Z"], wide) for i in range(5)], "row_id long, q_entity array<string>, a_entity array<string>, graph array<struct<h:string,r:string,t:string>>")
+    assert [len(r["path"]) for r in walks.searched_paths(df).collect()] == [2] * 5

@@ -277,7 +277,7 @@ def random_walks(rows: DataFrame, length: int, each: int, seed: str, starts: str
 
 
 def searched_paths(
-    rows: DataFrame, seed: int = 5, iterations: int = 100, rollout: int = 50, starts: str = "q_entity", ends: str = "a_entity", **columns: str
+    rows: DataFrame, seed: int = 5, iterations: int = 1000, rollout: int = 50, starts: str = "q_entity", ends: str = "a_entity", **columns: str
 ) -> DataFrame:
     """``(<key>, path, s, t)``: the best path tree search finds from each start to each end; seeded, so equal rows give equal paths."""
 
