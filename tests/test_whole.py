@@ -1,4 +1,4 @@
-"""Queries that do the whole job, against the reference's rule where the registered SQL does less."""
+"""Queries of paths and negatives against the rules they follow, written out a second time."""
 
 from collections import defaultdict
 from hashlib import md5

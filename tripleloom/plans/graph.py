@@ -180,10 +180,19 @@ for _direction, _end, _other in (("out", "h", "t"), ("in", "t", "h")):
 
 
 PAIRS = f"{members('rog_cwq', 'q_entity', 'qe')}, {members('rog_cwq', 'a_entity', 'ae')}, pairs AS (SELECT DISTINCT qe.e AS s, ae.e AS t FROM qe JOIN ae USING (qid) WHERE qe.e <> ae.e)"
-SHORTEST = f"""p1 AS (SELECT s, pairs.t, 1 AS hops, h || '-[' || r || ']->' || clean.t AS path FROM pairs JOIN clean ON h = s AND clean.t = pairs.t),
-p2 AS (SELECT s, pairs.t, 2 AS hops, a.h || '-[' || a.r || ']->' || a.t || ' ; ' || b.h || '-[' || b.r || ']->' || b.t AS path
-       FROM pairs JOIN clean a ON a.h = s JOIN clean b ON b.h = a.t AND b.t = pairs.t WHERE NOT EXISTS (FROM p1 WHERE p1.s = pairs.s AND p1.t = pairs.t)),
-shortest AS (FROM p1 UNION ALL FROM p2)"""
+DEPTH = 5
+LEVELS = "".join(
+    f"""
+d{k} AS MATERIALIZED (SELECT DISTINCT d.s, c.t AS n FROM d{k - 1} d JOIN clean c ON c.h = d.n WHERE {" AND ".join(f"NOT EXISTS (FROM d{j} WHERE d{j}.s = d.s AND d{j}.n = c.t)" for j in range(k))}),"""
+    for k in range(1, DEPTH + 1)
+)
+#: Nodes at each distance from each start, then back from the ends along edges that lead one step away.
+SHORTEST = f"""d0 AS MATERIALIZED (SELECT DISTINCT s, s AS n FROM pairs),{LEVELS}
+dist AS MATERIALIZED ({" UNION ALL ".join(f"SELECT s, n, {k} AS k FROM d{k}" for k in range(DEPTH + 1))}),
+back(s, t, hops, k, here, path) AS (
+  SELECT p.s, p.t, d.k, d.k, p.t, '' FROM pairs p JOIN dist d ON d.s = p.s AND d.n = p.t
+  UNION ALL SELECT b.s, b.t, b.hops, b.k - 1, c.h, c.h || '-[' || c.r || ']->' || c.t || CASE WHEN b.k < b.hops THEN ' ; ' ELSE '' END || b.path
+  FROM back b JOIN dist d ON d.s = b.s AND d.k = b.k - 1 JOIN clean c ON c.h = d.n AND c.t = b.here)"""
 
 
 def question_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,9 +200,9 @@ def question_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.explode(G.entity_list(F.col("q_entity"))).alias("s"), "a_entity").select("s", F.explode(G.entity_list(F.col("a_entity"))).alias("t")).distinct()
 
 
-@query("t03_shortest_paths", f"WITH {KG}, {PAIRS}, {SHORTEST} SELECT s, t, hops, path FROM shortest")
+@query("t03_shortest_paths", f"WITH RECURSIVE {KG.replace('clean AS (', 'clean AS MATERIALIZED (')}, {PAIRS}, {SHORTEST} SELECT s, t, hops::INT AS hops, path FROM back WHERE k = 0")
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
-    found = shortest.shortest_paths(clean(spark, folder), question_pairs(spark, folder), 5)
+    found = shortest.shortest_paths(clean(spark, folder), question_pairs(spark, folder), DEPTH)
     return found.select("s", "t", F.size("path").alias("hops"), P.steps_text(F.col("path")).alias("path"))
 
 
@@ -254,11 +263,11 @@ def direct_answers(spark: SparkSession, folder: str) -> DataFrame:
     return walks.rule_walks(ruled_rows(spark, folder), "rule", key="qid").select("qid", F.element_at("path", -1)["t"].alias("answer"))
 
 
-TRUTH = """bfs(qid, s, here, hops, path, seen) AS (
-  SELECT DISTINCT s.qid, s.e, s.e, 0, '', [s.e] FROM starts s JOIN nodes n ON n.qid = s.qid AND n.e = s.e
-  UNION ALL SELECT b.qid, b.s, e.t, b.hops + 1, b.path || CASE WHEN b.hops > 0 THEN ' ; ' ELSE '' END || e.h || '-[' || e.r || ']->' || e.t, list_append(b.seen, e.t)
+TRUTH = """bfs(qid, s, here, hops, path, seen, steps) AS (
+  SELECT DISTINCT s.qid, s.e, s.e, 0, '', [s.e], []::STRUCT(h VARCHAR, r VARCHAR, t VARCHAR)[] FROM starts s JOIN nodes n ON n.qid = s.qid AND n.e = s.e
+  UNION ALL SELECT b.qid, b.s, e.t, b.hops + 1, b.path || CASE WHEN b.hops > 0 THEN ' ; ' ELSE '' END || e.h || '-[' || e.r || ']->' || e.t, list_append(b.seen, e.t), list_append(b.steps, {'h': e.h, 'r': e.r, 't': e.t})
   FROM bfs b JOIN edges e ON e.qid = b.qid AND e.h = b.here WHERE NOT list_contains(b.seen, e.t)),
-hit AS (SELECT DISTINCT b.qid, b.s, b.here AS t, b.hops, b.path FROM bfs b JOIN ends ON ends.qid = b.qid AND ends.e = b.here),
+hit AS (SELECT DISTINCT b.qid, b.s, b.here AS t, b.hops, b.path, b.steps FROM bfs b JOIN ends ON ends.qid = b.qid AND ends.e = b.here),
 truth AS (SELECT * FROM hit QUALIFY hops = min(hops) OVER (PARTITION BY qid, s, t))"""
 NODES = "nodes AS (SELECT qid, h AS e FROM edges UNION SELECT qid, t FROM edges)"
 
@@ -333,11 +342,16 @@ def mediator_groups(spark: SparkSession, folder: str) -> DataFrame:
     return G.mediator_groups(triples_of(spark, folder))
 
 
-TRACE = f"""edge AS (SELECT state_id, s, arg_max(r, p) AS r, t FROM (
-  SELECT state_id, p1 * 1000000 + p2 * 1000 + p3 AS p, {strip('d.entity')} AS s, {strip('l.name')} AS r, {strip('x')} AS t FROM (
-    SELECT *, unnest(l.targets) AS x, generate_subscripts(l.targets, 1) AS p3 FROM (SELECT *, unnest(d.relations) AS l, generate_subscripts(d.relations, 1) AS p2 FROM (
-      SELECT state_id, unnest(exploration_trace) AS d, generate_subscripts(exploration_trace, 1) AS p1 FROM traversal_states))))
-  WHERE s <> '' AND r <> '' AND t <> '' GROUP BY state_id, s, t)"""
+TRACE = f"""rounds AS (SELECT state_id, unnest(exploration_trace) AS d FROM traversal_states),
+edge AS (SELECT DISTINCT state_id, s, r, t FROM (
+  SELECT state_id, {strip('entity')} AS s, {strip('l.name')} AS r, {strip('x')} AS t FROM (
+    SELECT *, unnest(l.targets) AS x FROM (SELECT state_id, d.entity AS entity, unnest(d.relations) AS l FROM rounds)))
+  WHERE s <> '' AND r <> '' AND t <> ''),
+roots AS (SELECT DISTINCT state_id, {strip('d.entity')} AS s FROM rounds WHERE d.round_num = 1),
+p(state_id, here, hops, path, seen, closed) AS (
+  SELECT e.state_id, e.t, 1, e.s || ' -> ' || e.r || ' -> ' || e.t, [e.s, e.t], e.s = e.t FROM edge e JOIN roots USING (state_id, s)
+  UNION ALL SELECT p.state_id, e.t, p.hops + 1, p.path || ' -> ' || e.r || ' -> ' || e.t, list_append(p.seen, e.t), list_contains(p.seen, e.t)
+  FROM p JOIN edge e ON e.state_id = p.state_id AND e.s = p.here WHERE NOT p.closed)"""
 
 
 def trace_graphs(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,13 +363,8 @@ def trace_graphs(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "traversal_states").select(F.col("state_id").alias("qid"), graph.alias("graph"), starts.alias("starts"))
 
 
-@query("t18_trace_leaf_paths", f"""WITH RECURSIVE {TRACE},
-roots AS (SELECT DISTINCT state_id, s FROM edge e WHERE NOT EXISTS (FROM edge f WHERE f.state_id = e.state_id AND f.t = e.s AND f.s <> e.s)),
-p(state_id, here, hops, path, seen, closed) AS (
-  SELECT e.state_id, e.t, 1, e.s || ' -> ' || e.r || ' -> ' || e.t, [e.s, e.t], e.s = e.t FROM edge e JOIN roots USING (state_id, s)
-  UNION ALL SELECT p.state_id, e.t, p.hops + 1, p.path || ' -> ' || e.r || ' -> ' || e.t, list_append(p.seen, e.t), list_contains(p.seen, e.t)
-  FROM p JOIN edge e ON e.state_id = p.state_id AND e.s = p.here WHERE NOT p.closed AND p.hops < 6)
-SELECT state_id, hops::INT AS hops, path FROM p WHERE closed OR hops = 6 OR NOT EXISTS (FROM edge e WHERE e.state_id = p.state_id AND e.s = p.here)""")
+@query("t18_trace_leaf_paths", f"""WITH RECURSIVE {TRACE}
+SELECT state_id, hops::INT AS hops, path FROM p WHERE closed OR NOT EXISTS (FROM edge e WHERE e.state_id = p.state_id AND e.s = p.here)""")
 def trace_leaf_paths(spark: SparkSession, folder: str) -> DataFrame:
     found = walks.leaf_paths(trace_graphs(spark, folder), "starts", key="qid")
     return found.select(F.col("qid").alias("state_id"), F.size("path").alias("hops"), P.arrow_text(F.col("path")).alias("path"))

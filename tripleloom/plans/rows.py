@@ -144,16 +144,18 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
     return walks.truth_paths(questions(spark, folder), key="qid").where(F.size("path") > 0)
 
 
-@query("n02_truncated_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {TRUTH_STEPS} SELECT DISTINCT qid, array_to_string(w[1:i], ' ; ') AS path FROM (SELECT qid, w, unnest(range(1, least(len(w), 3))) AS i FROM steps_)")
+@query("n02_truncated_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {TRUTH_STEPS} SELECT DISTINCT qid, array_to_string(w[1:i], ' ; ') AS path FROM (SELECT qid, w, unnest(range(1, least(len(w), 6))) AS i FROM steps_)")
 def truncated_paths(spark: SparkSession, folder: str) -> DataFrame:
-    cut = training.truncated(truth(spark, folder), "qid", "path", 2)
+    cut = training.truncated(truth(spark, folder), "qid", "path", 5)  # as many as negatives of a positive path
     return cut.select("qid", P.steps_text(F.col("path")).alias("path")).distinct()
 
 
-PERTURBED = f"""one AS (SELECT DISTINCT t.qid, t.t AS answer, e.h, e.r, e.t, t.path FROM truth t JOIN edges e ON e.qid = t.qid AND t.hops = 1 AND t.path = e.h || '-[' || e.r || ']->' || e.t),
-nvec AS (SELECT count(*) AS n FROM embeddings), relq AS (SELECT h, r, row_number() OVER (PARTITION BY h ORDER BY md5('rel|' || r), r) AS rank FROM (SELECT DISTINCT h, r FROM clean)),
-opt AS (SELECT o.qid, o.answer, o.path, o.h, k.r, o.t, row_number() OVER (PARTITION BY o.qid, o.path, o.answer ORDER BY k.rank) AS n FROM one o JOIN relq k ON k.h = o.h AND k.rank <= 4 AND k.r <> o.r),
-tails AS (SELECT p.qid, p.path, p.h, p.r, c.t FROM opt p JOIN clean c ON c.h = p.h AND c.r = p.r AND c.t <> p.answer AND c.t <> p.t WHERE p.n <= 2)"""
+PERTURBED = """hop AS (SELECT qid, answer, path, steps, i, steps[i] AS s FROM (SELECT DISTINCT qid, t AS answer, path, steps, unnest(range(1, len(steps) + 1)) AS i FROM truth WHERE hops > 0)),
+relq AS (SELECT h, r, row_number() OVER (PARTITION BY h ORDER BY md5('rel|' || r), r) AS rank FROM (SELECT DISTINCT h, r FROM clean)),
+opt AS (SELECT o.*, k.r AS other, row_number() OVER (PARTITION BY o.qid, o.path, o.i ORDER BY k.rank) AS n FROM hop o JOIN relq k ON k.h = o.s.h AND k.rank <= 4 AND k.r <> o.s.r),
+tails AS (SELECT p.*, p.s.h AS h, c.t FROM opt p JOIN clean c ON c.h = p.s.h AND c.r = p.other AND c.t <> p.answer AND c.t <> p.s.t WHERE p.n <= 2),
+pert AS (SELECT qid, path AS origin, i, n, array_to_string(list_append(list_transform(steps[1:i - 1], lambda x: x.h || '-[' || x.r || ']->' || x.t), h || '-[' || other || ']->' || arg_min(t, md5('neg|' || h || '|' || other || '|' || t))), ' ; ') AS path
+  FROM tails GROUP BY qid, path, steps, i, n, h, other)"""
 
 
 def perturbed(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,14 +170,15 @@ def perturbed(spark: SparkSession, folder: str) -> DataFrame:
     return training.perturbed(paths, "qid", "path", "answer", kg, ranked, "neg", 2)
 
 
-@query("n01_perturbed_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED} SELECT DISTINCT qid, h || '-[' || r || ']->' || arg_min(t, md5('neg|' || h || '|' || r || '|' || t)) AS path FROM tails GROUP BY qid, path, h, r")
+@query("n01_perturbed_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED} SELECT DISTINCT qid, path FROM pert")
 def perturbed_paths(spark: SparkSession, folder: str) -> DataFrame:
     return perturbed(spark, folder).select("qid", P.steps_text(F.col("path")).alias("path")).distinct()
 
 
-NEGATIVES = f"""pert AS (SELECT DISTINCT qid, h || '-[' || r || ']->' || arg_min(t, md5('neg|' || h || '|' || r || '|' || t)) AS path FROM tails GROUP BY qid, path, h, r), {TRUTH_STEPS},
-trunc AS (SELECT DISTINCT qid, array_to_string(w[1:i], ' ; ') AS path FROM (SELECT qid, w, unnest(range(1, least(len(w), 3))) AS i FROM steps_)),
-negs AS (SELECT qid, path, min(k) AS strategy FROM (SELECT qid, path, 0 AS k FROM pert UNION ALL SELECT qid, path, 1 FROM trunc) GROUP BY qid, path QUALIFY row_number() OVER (PARTITION BY qid ORDER BY min(k), path) <= 3)"""
+NEGATIVES = """cand AS (SELECT qid, origin, path, 0 AS strategy, md5('hop|' || origin || '|' || i) AS hop, n FROM pert
+  UNION ALL SELECT qid, path, array_to_string(list_transform(steps[1:k], lambda x: x.h || '-[' || x.r || ']->' || x.t), ' ; '), 1, '', k FROM (SELECT DISTINCT qid, path, steps, unnest(range(1, len(steps))) AS k FROM truth)),
+kept AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY qid, origin ORDER BY strategy, hop, n) <= 5),
+negs AS (SELECT qid, path, min(strategy) AS strategy FROM kept GROUP BY qid, path)"""
 
 
 def negatives(spark: SparkSession, folder: str) -> DataFrame:
