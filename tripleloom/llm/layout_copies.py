@@ -1,7 +1,7 @@
 """Records that differ only in layout, collapsed into one each with an exact copy count.
 
 Canonical records are range-partitioned and externally sorted; a scan of adjacent rows compares
-the full keys (:mod:`tripleloom.operators.sorted_runs`).
+the full keys (:mod:`tripleloom.llm.sorted_runs`).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.words import letters_and_digits
-from tripleloom.operators.sorted_runs import run_members
+from tripleloom.llm.sorted_runs import run_members
 from tripleloom.session import spread
 
 #: The escapes of a JSON string, of which no letter is part of the text; separators no text holds.

@@ -1,60 +1,67 @@
 """How often every distinct term occurs, and in how many records.
 
-Pairs of term and record are range-partitioned and externally sorted; the counts come from
-walking the sorted runs.  The range key ends with the record, so the run of a term that stands in
-a third of all records is cut into even parts; the parts of a run are then added up.
+Pairs of term and record are range-partitioned and externally sorted; a scan of the sorted runs
+counts occurrences and distinct records (:mod:`tripleloom.llm.sorted_runs`).  The range key ends
+with the record, so the run of a term that stands in a third of all records is cut into even
+parts; the parts of a run are then added up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.functions.binding import let
-from tripleloom.functions.words import stripped
+from tripleloom.functions.words import BLANKS
+from tripleloom.llm.sorted_runs import run_counts
 from tripleloom.session import spread
 
+KINDS = pa.array(["entity", "relation"])
+
+
+def _terms(graph: pa.Array) -> pa.Table:
+    """``(at, kind, term, occ)``: the terms of the valid triples of each graph, ``at`` its place."""
+    steps = pc.list_flatten(graph)
+    h, r, t = (pc.utf8_trim(pc.struct_field(steps, c), characters=BLANKS) for c in "hrt")
+    filled = [pc.fill_null(pc.not_equal(x, ""), False) for x in (h, r, t)]
+    valid = pc.and_(pc.and_(*filled[:2]), filled[2])
+    at = pc.cast(pc.filter(pc.list_parent_indices(graph), valid), pa.int64())
+    n = len(at)
+    one = pa.table({
+        "at": pa.chunked_array([at, at, at]),
+        "kind": pa.array(np.repeat(np.array([0, 1], np.int8), [2 * n, n])),
+        "term": pa.chunked_array([pc.filter(x, valid) for x in (h, t, r)], pa.string()),
+    })
+    return one.group_by(["at", "kind", "term"], use_threads=False).aggregate([([], "count_all")])
+
 
 def triple_terms(rows: DataFrame, row: str = "row_id", graph: str = "graph") -> DataFrame:
     """``(kind, term, row, occ)``: the entities (h, t) and relations (r) of a row's valid triples.
 
     Triples with a null or blank member are not valid; members are read without the blanks
     around them.  Null and empty graphs have no terms.  Occurrences in one row are counted
-    here, so each pair of term and row comes out once.
+    here, on whole Arrow batches, so a pair of term and row comes out once.
     """
-    valid = F.filter(
-        F.transform(F.col(graph), lambda x: F.struct(stripped(x["h"]).alias("h"), stripped(x["r"]).alias("r"), stripped(x["t"]).alias("t"))),
-        lambda x: (x["h"] != "") & (x["r"] != "") & (x["t"] != ""),
-    )
-    part = lambda kind, c: F.transform("v", lambda x: F.struct(F.lit(kind).alias("kind"), x[c].alias("term")))
-    terms = F.sort_array(F.concat(part("entity", "h"), part("entity", "t"), part("relation", "r")))
+    kind = dict(rows.dtypes)[row]
 
-    def counted(ts: Column) -> Column:
-        """The runs of the sorted list of one row, which is as long as the row's graph."""
-        begins = F.filter(F.transform(ts, lambda x, i: F.when((i == 0) | (x != F.get(ts, i - 1)), i)), lambda i: i.isNotNull())
-        run = lambda bs: F.transform(
-            bs,
-            lambda b, k: F.struct(F.get(ts, b)["kind"].alias("kind"), F.get(ts, b)["term"].alias("term"), (F.coalesce(F.get(bs, k + 1), F.size(ts)) - b).cast("long").alias("occ")),
-        )
-        return let(begins, run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _terms(b.column(1)).combine_chunks()
+            columns = [found.column(c).combine_chunks() for c in ("kind", "term", "at", "count_all")]
+            yield pa.RecordBatch.from_arrays([KINDS.take(columns[0]), columns[1], b.column(0).take(columns[2]), columns[3]], names=["kind", "term", "row", "occ"])
 
-    return spread(rows.select(row, graph)).select(F.col(row).alias("row"), valid.alias("v")).select("row", F.inline(let(terms, counted))).select("kind", "term", "row", "occ")
+    narrow = rows.select(F.col(row).alias("row"), F.col(graph).alias("graph"))
+    return spread(narrow).mapInArrow(run, f"kind string, term string, row {kind}, occ long")
 
 
 def term_counts(pairs: DataFrame) -> DataFrame:
-    """``(kind, term, occurrences, rows)`` of pairs ``(kind, term, row, occ)``, each pair of term and row once.
-
-    ``max(term)`` makes Spark take its sort-based aggregate, which walks the sorted runs and
-    keeps one counter, both within the range partitions and where parts of a run are added up.
-    """
-    runs = pairs.repartitionByRange("kind", "term", "row").sortWithinPartitions("kind", "term", "row")
-    return (
-        runs.groupBy("kind", "term")
-        .agg(F.max("term").alias("run"), F.sum("occ").alias("occurrences"), F.count(F.lit(1)).alias("rows"))
-        .drop("run")
-    )
+    """``(kind, term, occurrences, rows)`` of pairs ``(kind, term, row, occ)``; rows with equal ids are one row."""
+    return run_counts(pairs, ["kind", "term"], "row", "occ").withColumnsRenamed({"amount": "occurrences", "records": "rows"})
 
 
 def marked_terms(rows: DataFrame, rare_rows: int = 2, common_share: float = 0.05, row: str = "row_id", graph: str = "graph") -> DataFrame:
