@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -71,6 +72,50 @@ def test_without_quotes_it_is_a_split(text):
     assert answers(text) == [p for p in parts if p]
 
 
+def closing(text, at, delimiters):
+    """The rule of a closing quote, walked sign by sign for each quote."""
+    i = at + 1
+    while i < len(text):
+        if text[i] == "\\" and i + 1 < len(text):
+            i += 2
+        elif text[i : i + 2] == text[at] * 2:
+            i += 2
+        elif text[i] == text[at] and (not (rest := text[i + 1 :].lstrip(" ")) or rest[0] in delimiters):
+            return i
+        else:
+            i += 1
+    return -1
+
+
+def brute(text, delimiters=",|\n"):
+    out, i = [], 0
+    while i <= len(text):
+        while i < len(text) and text[i] == " ":
+            i += 1
+        start, quoted = i, None
+        if i < len(text) and text[i] in "\"'" and (end := closing(text, i, delimiters)) >= 0:
+            q = text[i]
+            quoted, i = text[i + 1 : end].replace("\\" + q, q).replace(q + q, q), end + 1
+        while i < len(text) and text[i] not in delimiters:
+            i += 1
+        out.append((text[start:i] if quoted is None else quoted).strip())
+        i += 1
+    return [v for v in out if v]
+
+
+@given(st.text(alphabet="ab,|\"'\\ \n", max_size=40))
+@settings(max_examples=1500, deadline=None)
+def test_quotes_equal_brute_force(text):
+    assert PackedTokenizer(",|\n").values("x," + text) == brute("x," + text)
+
+
+@pytest.mark.parametrize("part", ["'x y,", "\"x'y,'", "'\\' ,'' x", "['a' 'b',", "''", "' "])
+def test_a_long_field_takes_time_in_proportion(part):
+    began = time.process_time()
+    answers(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 2
+
+
 def test_objects():
     assert is_object(' {"a": 1} ') and not is_object("{a}") and not is_object(None) and not is_object('["a"]')
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 #: What parts the values of an answer list and of a list of paths.
 ANSWER_DELIMITERS = ",;|\t\r\n"
 PATH_DELIMITERS = "|\t\r\n"
+#: What a search for the end of a quoted value stops at.
+SIGNS = {q: re.compile(rf"[\\{q}]").search for q in "\"'"}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -24,7 +26,8 @@ class PackedTokenizer:
     """``values(text)``: the values in order, without surrounding white space and enclosing quotes.
 
     ``quotes``: the signs that quote a value when they stand at its begin and a like one stands
-    right before the next delimiter.  Depth of brackets counts only in list literals.
+    right before the next delimiter.  Depth of brackets counts only in list literals.  Each sign of
+    a text is looked at a bounded number of times, however many quotes never close.
     """
 
     def __init__(self, delimiters: str, quotes: str = "\"'") -> None:
@@ -48,6 +51,7 @@ class PackedTokenizer:
     def _literal(self, body: str) -> list[str] | None:
         """The elements of a list literal; None if it isn't one."""
         out: list[str] = []
+        dead: set[tuple[str, int]] = set()
         i, n = 0, len(body)
         while i < n:
             while i < n and (body[i].isspace() or body[i] == ","):
@@ -55,7 +59,7 @@ class PackedTokenizer:
             if i == n:
                 break
             if body[i] in "\"'":
-                end = self._closing(body, i, self._list_split, doubled=False)
+                end = self._closing(body, i, self._list_split, False, dead)
                 if end < 0:
                     return None
                 value, i = self._unescape(body[i + 1 : end], body[i], True), end + 1
@@ -81,13 +85,14 @@ class PackedTokenizer:
 
     def _scan(self, text: str) -> list[str]:
         out: list[str] = []
+        dead: set[tuple[str, int]] = set()
         i, n, start = 0, len(text), 0
         while i <= n:
             # between values: skip white space that isn't a delimiter
             while i < n and text[i] not in self.delimiters and text[i].isspace():
                 i += 1
             start = i
-            if i < n and text[i] in self.quotes and (end := self._closing(text, i, self.delimiters, doubled=True)) >= 0:
+            if i < n and text[i] in self.quotes and (end := self._closing(text, i, self.delimiters, True, dead)) >= 0:
                 value = self._unescape(text[i + 1 : end], text[i], False).strip()
                 i = end + 1
                 while i < n and text[i] not in self.delimiters:  # only white space is left
@@ -102,24 +107,30 @@ class PackedTokenizer:
         return out
 
     @staticmethod
-    def _closing(text: str, at: int, delimiters: frozenset, doubled: bool) -> int:
-        """Where the quote opened at ``at`` closes: before a delimiter or the end; -1 if nowhere."""
-        quote, i, n = text[at], at + 1, len(text)
-        while i < n:
-            c = text[i]
-            if c == "\\" and i + 1 < n:
+    def _closing(text: str, at: int, delimiters: frozenset, doubled: bool, dead: set[tuple[str, int]]) -> int:
+        """Where the quote opened at ``at`` closes: before a delimiter or the end; -1 if nowhere.
+
+        ``dead`` holds the signs of this text from which on no quote of their kind closes; the way on
+        from a sign doesn't depend on where it was come from, so each is looked at once."""
+        quote, n, found = text[at], len(text), SIGNS[text[at]]
+        passed, i = [], at + 1
+        while m := found(text, i):
+            i = m.start()
+            if (quote, i) in dead:
+                break
+            passed.append((quote, i))
+            if text[i] == "\\":
+                i += 2
+            elif doubled and i + 1 < n and text[i + 1] == quote:
                 i += 2
-                continue
-            if c == quote:
-                if doubled and i + 1 < n and text[i + 1] == quote:
-                    i += 2
-                    continue
+            else:
                 j = i + 1
                 while j < n and text[j] not in delimiters and text[j].isspace():
                     j += 1
                 if j == n or text[j] in delimiters:
                     return i
-            i += 1
+                i += 1
+        dead.update(passed)
         return -1
 
     @staticmethod

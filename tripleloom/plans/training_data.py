@@ -63,7 +63,28 @@ def p5_parents(spark: SparkSession, folder: str) -> DataFrame:
     return shred.trace_parents(load(spark, folder, "traversal_states"))
 
 
-@query("p6_found")
+#: A quoted value for each sign; one field as a list literal, else cut by a pattern of one value and the delimiter after it.
+DOUBLE, SINGLE = r'"(?:\\.|""|[^"\\])*"', r"''(?:\\.|''''|[^''\\])*''"
+
+
+def _unpacked(field: str, delimiters: str, skip: str) -> str:
+    value = f"[ ]*({DOUBLE}[ ]*|{SINGLE}[ ]*|[^{delimiters}]*)[{delimiters}]"
+    return f"""
+{field}_in AS (SELECT row_id, trim({field}, e' \\t\\r\\n') AS x FROM predictions WHERE {field} IS NOT NULL AND NOT ({skip})),
+{field}_values AS (SELECT row_id, CASE
+    WHEN starts_with(x, '[') AND json_valid(x) THEN list_transform(json_extract(x, '$[*]'), lambda j: j->>'$')
+    WHEN regexp_full_match(x, '\\[\\s*({DOUBLE}|{SINGLE})(\\s*,\\s*({DOUBLE}|{SINGLE}))*\\s*\\]')
+      THEN list_transform(regexp_extract_all(x, '{DOUBLE}|{SINGLE}'), lambda v: regexp_replace(v[2:-2], '\\\\(.)', '\\1', 'g'))
+    ELSE list_transform(list_transform(regexp_extract_all(x || '|', '{value}', 1), lambda v: trim(v)),
+      lambda v: CASE WHEN len(v) > 1 AND v[1] IN ('"', '''') AND v[-1] = v[1] THEN replace(replace(v[2:-2], '\\' || v[1], v[1]), v[1] || v[1], v[1]) ELSE v END) END AS v FROM {field}_in),
+{field}_items AS (SELECT row_id, '{field}' AS field, list_filter(list_transform(v, lambda y: trim(y)), lambda y: y <> '') AS v FROM {field}_values)"""
+
+
+UNPACKED = f"""WITH {_unpacked("prediction", ",;|" + chr(9) + chr(13) + chr(10), "starts_with(ltrim(prediction), '{') AND json_valid(prediction)")},{_unpacked("predicted_paths", "|" + chr(9) + chr(13) + chr(10), "false")}
+SELECT row_id, field, unnest(range(len(v)))::INT AS pos, unnest(v) AS item FROM (FROM prediction_items UNION ALL FROM predicted_paths_items)"""
+
+
+@query("p6_found", UNPACKED)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return packed.unpack(
         load(spark, folder, "predictions"),
