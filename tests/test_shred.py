@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tripleloom.operators.shred import EXPLORATION, ancestor_table, leaf_table, read_decisions, shred, trace_items, trace_parents
+from tripleloom.operators.shred import EXPLORATION, ancestor_table, leaf_table, member_table, read_decisions, shred, trace_decisions, trace_items, trace_parents, trace_relations, trace_rounds
 
 TARGETS = pa.list_(pa.string())
 RELATION = pa.struct([("name", pa.string()), ("targets", TARGETS)])
@@ -40,6 +40,34 @@ def test_leaf_table_equals_nested_loops(rows, cut):
     assert [(k, *map(int, p)) for k, p in zip(keys.to_pylist(), pos)] == want
 
 
+@given(st.lists(maybe(rounds), max_size=5), st.integers(0, 2))
+@settings(max_examples=200, deadline=None)
+def test_flat_tables_rebuild_the_records(rows, cut):
+    cut = min(cut, len(rows))
+    column, rows = pa.array(rows, TRACE)[cut:], rows[cut:]
+    ids = pa.array(range(len(rows)), pa.int64())
+
+    def table(path, members, lists):
+        keys, pos, columns = member_table(column, path, members, lists, ids)
+        return {(k, *map(int, p)): v for k, p, *v in zip(keys.to_pylist(), pos, *(c.to_pylist() for c in columns))}
+
+    one, two = table(("[]",), ["round_num"], ["relations"]), table(("[]", "relations", "[]"), ["name"], ["targets"])
+    keys, pos, values = leaf_table(column, EXPLORATION, ids)
+    leaves = {(k, *map(int, p)): v for k, p, v in zip(keys.to_pylist(), pos, values.to_pylist())}
+
+    def relation(at):
+        null, name, n = two[at]
+        return None if null else {"name": name, "targets": None if n is None else [leaves.get((*at, m)) for m in range(n)]}
+
+    def round_(at):
+        null, number, n = one[at]
+        return None if null else {"round_num": number, "relations": None if n is None else [relation((*at, j)) for j in range(n)]}
+
+    built = [[round_((k, i)) for i in range(sum(x[0] == k for x in one))] for k in range(len(rows))]
+    assert built == [t or [] for t in rows]
+    assert len(two) == sum(len((d or {}).get("relations") or []) for t in rows for d in t or [])
+
+
 def test_levels_of_a_known_record():
     column = pa.array([[{"round_num": 1, "relations": [{"name": "r", "targets": ["a", None]}, {"name": "s", "targets": []}]}, None], None, []], TRACE)
     levels = shred(column, EXPLORATION)
@@ -70,3 +98,15 @@ def test_operator_on_awkward_rows(spark):
     parents = sorted((r["level"], r["pos1"], -1 if r["pos2"] is None else r["pos2"]) for r in trace_parents(df).collect())
     assert parents == [("relation", 0, 0), ("relation", 0, 1), ("relation", 0, 2), ("round", 0, -1), ("round", 1, -1), ("round", 2, -1)]
     assert trace_items(df.limit(0)).count() == 0
+    assert sorted(map(tuple, trace_rounds(df).collect()), key=str) == sorted([(1, 0, False, 1, "q", "e", 3), (1, 1, True, None, None, None, None), (1, 2, False, None, None, None, None)], key=str)
+    assert sorted(map(tuple, trace_relations(df).collect()), key=str) == sorted([(1, 0, 0, False, "r", 3), (1, 0, 1, True, None, None), (1, 0, 2, False, "s", None)], key=str)
+    texts = [(7, '[{"answer_found": true, "error": "e", "extra": [1], "answer_entities": "A"}, 3, {"answer_found": "yes", "next_exploration_step": {"question": "q", "depth": 2}}]'), (8, "{}"), (9, None), (None, "x")]
+    decisions = [tuple(r) for r in trace_decisions(spark.createDataFrame(texts, "state_id long, reasoning_trace string")).collect()]
+    assert decisions == [
+        (7, 0, False, True, None, "e", None, None, '{"extra": [1]}', 1, None),
+        (7, 1, True, *[None] * 8),
+        (7, 2, False, None, None, None, "q", None, '{"next_exploration_step": {"depth": 2}, "answer_found": "yes"}', None, None),
+        (8, 0, False, *[None] * 8),
+    ]
+    for f in (trace_rounds, trace_relations, trace_decisions):
+        assert f(df.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripleloom.operators import packed, salted, shred
 from tripleloom.plans.registry import query
@@ -63,6 +64,28 @@ def p5_parents(spark: SparkSession, folder: str) -> DataFrame:
     return shred.trace_parents(load(spark, folder, "traversal_states"))
 
 
+@query("p5_rounds", f"""WITH {ROUNDS} SELECT state_id, pos1::INT AS pos1, d IS NULL AS is_null, d.round_num AS round_num, d.question AS question, d.entity AS entity,
+len(d.relations)::INT AS n_relations FROM rounds""")
+def p5_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    return shred.trace_rounds(load(spark, folder, "traversal_states"))
+
+
+@query("p5_relations", f"WITH {ROUNDS} SELECT state_id, pos1::INT AS pos1, pos2::INT AS pos2, l IS NULL AS is_null, l.name AS name, len(l.targets)::INT AS n_targets FROM rels")
+def p5_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return shred.trace_relations(load(spark, folder, "traversal_states"))
+
+
+@query("p5_decisions", f"""WITH {DECISIONS}, o AS (SELECT state_id, pos1, CASE WHEN json_type(d) = 'OBJECT' THEN d END AS d FROM decisions)
+SELECT state_id, pos1, d IS NULL AS is_null, (d->>'answer_found')::BOOLEAN AS answer_found, d->>'reasoning_summary' AS reasoning_summary, d->>'error' AS error,
+d->'next_exploration_step'->>'question' AS next_question, d->'next_exploration_step'->>'entity' AS next, len(list_filter(json_keys(d), lambda k: k NOT IN
+  ('answer_found', 'answer_entities', 'reasoning_summary', 'error', 'pruned_reasoning_paths', 'next_exploration_step'))) > 0 AS has_more,
+CASE json_type(d->'answer_entities') WHEN 'ARRAY' THEN json_array_length(d->'answer_entities')::INT WHEN 'NULL' THEN NULL ELSE CASE WHEN (d->'answer_entities') IS NOT NULL THEN 1 END END AS n_answers,
+CASE json_type(d->'pruned_reasoning_paths') WHEN 'ARRAY' THEN json_array_length(d->'pruned_reasoning_paths')::INT WHEN 'NULL' THEN NULL ELSE CASE WHEN (d->'pruned_reasoning_paths') IS NOT NULL THEN 1 END END AS n_pruned FROM o""")
+def p5_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    found = shred.trace_decisions(load(spark, folder, "traversal_states"))
+    return found.withColumn("has_more", F.when(~F.col("is_null"), F.col("more").isNotNull())).drop("more")
+
+
 #: A quoted value for each sign; one field as a list literal, else cut by a pattern of one value and the delimiter after it.
 DOUBLE, SINGLE = r'"(?:\\.|""|[^"\\])*"', r"''(?:\\.|''''|[^''\\])*''"
 
