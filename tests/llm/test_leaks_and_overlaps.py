@@ -53,13 +53,23 @@ def test_leak_operator(spark):
     rows = [("sft", 1, long, 1), ("sft", 2, None, 1), ("sft", 3, "", 1), ("sft", 4, "one two three four five six seven eight nine", 1), ("sft", 1, long, 1), (None, None, q, None)]
     df = spark.createDataFrame(rows, "corpus string, train_row long, prompt string, item_id int")
     want = sorted([("sft", 1, 1), ("sft", 1, 2)] * 2 + [(None, None, 1), (None, None, 2)], key=str)
-    for block in (50_000, 1):
-        got = leaked_items(df, ["corpus", "train_row"], "prompt", items, "item_id", "question", block_items=block)
+    for block in (1 << 20, 60):
+        got = leaked_items(df, ["corpus", "train_row"], "prompt", items, "item_id", "question", block_bytes=block)
         assert sorted(map(tuple, got.collect()), key=str) == want
     assert leaked_items(df.limit(0), ["corpus", "train_row"], "prompt", items, "item_id", "question").count() == 0
     assert leaked_items(df, ["corpus", "train_row"], "prompt", items.limit(0), "item_id", "question").count() == 0
 
 
+def test_gold_answers_are_verified(spark):
+    q = "one two three four five six seven eight nine ten eleven"
+    gold = ["The  Red-Fox", "the red fox", None, "?!", "ten eleven", "fox"]
+    items = spark.createDataFrame([(1, q, gold), (2, q, None), (3, None, gold), (4, q, [])], "item_id int, question string, gold array<string>")
+    df = spark.createDataFrame([(1, f"{q}. It was THE RED FOX"), (2, q), (3, "the red fox"), (4, None), (5, f"{q} the red, foxes")], "k int, prompt string")
+    for block in (1 << 20, 60):
+        got = leaked_items(df, ["k"], "prompt", items, "item_id", "question", answers="gold", block_bytes=block)
+        assert sorted(map(tuple, got.collect())) == sorted((k, i, n, m if i == 1 else 0) for k, m in ((1, 3), (2, 1), (5, 1)) for i, n in ((1, 3), (2, 0), (4, 0)))
+
+
 QUESTIONS = "row_id long, split string, question string, key string, n int"
 
 

@@ -60,6 +60,15 @@ def p4_leaks_per_item(spark: SparkSession, folder: str) -> DataFrame:
     return p4_found(spark, folder).groupBy("corpus", "item_id").agg(F.count(F.lit(1)).alias("train_rows"))
 
 
+@query
+def p4_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of p4_found with the item's gold answers, as far as runs of predictions have them."""
+    gold = load(spark, folder, "predictions").select(F.col("id").alias("qid"), F.explode("ground_truth").alias("a")).distinct()  # before lists are made
+    gold = gold.groupBy("qid").agg(F.collect_list("a").alias("answers"))  # as many as a question has different answers
+    items = load(spark, folder, "heldout_items").join(gold, "qid", "left")
+    return leakage.leaked_items(_prompts(spark, folder), ["corpus", "train_row"], "prompt", items, "item_id", "question", answers="answers")
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     one = lambda name, table: load(spark, folder, table).select("row_id", "split", "question", F.lit(name).alias("source"))
     return one("webqsp", "rog_webqsp").unionByName(one("cwq", "rog_cwq"))

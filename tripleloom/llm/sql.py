@@ -35,6 +35,12 @@ leaks AS (SELECT DISTINCT a.corpus, a.k AS train_row, b.k AS item_id FROM runs a
 SQL["p4_found"] = f"WITH {LEAKS} SELECT corpus, train_row, item_id FROM leaks"
 SQL["p4_leaks_per_item"] = f"WITH {LEAKS} SELECT corpus, item_id, count(*) AS train_rows FROM leaks GROUP BY corpus, item_id"
 
+SQL["p4_verified"] = f"""WITH {LEAKS},
+gold AS (SELECT DISTINCT id AS qid, array_to_string(regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}]+'), ' ') AS a FROM (SELECT id, unnest(ground_truth) AS a FROM predictions)),
+held AS (SELECT l.*, gold.a, contains(' ' || array_to_string(t.w, ' ') || ' ', ' ' || gold.a || ' ') AS there
+  FROM leaks l JOIN heldout_items i USING (item_id) JOIN w t ON t.corpus = l.corpus AND t.k = l.train_row LEFT JOIN gold ON gold.qid = i.qid AND gold.a <> '')
+SELECT corpus, train_row, item_id, count(a)::INT AS gold_answers, coalesce(count(*) FILTER (WHERE there), 0)::INT AS answers_found FROM held GROUP BY ALL"""
+
 OVERLAPS = r"""
 q AS (SELECT row_id, split, question, 'webqsp' AS source FROM rog_webqsp UNION ALL SELECT row_id, split, question, 'cwq' FROM rog_cwq),
 s AS (SELECT row_id, split, source, list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) AS w FROM q WHERE question IS NOT NULL),
