@@ -30,7 +30,7 @@ def test_json_sources(spark, tmp_path):
 def test_csv_and_ids(spark, tmp_path):
     (tmp_path / "head.csv").write_text("lid:ID,score:FLOAT,:TYPE\n")
     (tmp_path / "nodes.csv").write_text('a,1,"x, y"\na,2,z\nb,,\n')
-    assert R.header_names(str(tmp_path / "head.csv")) == ["lid", "score", "type"]
+    assert R.header_names(spark, str(tmp_path / "head.csv")) == ["lid", "score", "type"]
     nodes, edges = R.node_edge_tables(spark, *(str(tmp_path / f) for f in ("nodes.csv", "nodes.csv", "head.csv", "head.csv")))
     assert nodes.count() == 2 and edges.count() == 3 and edges.where("score IS NULL").count() == 1
     (tmp_path / "rel.tsv").write_text("1\tr.a\n2\tr.b\n")
@@ -51,6 +51,8 @@ def test_sinks(spark, tmp_path):
     assert "ü" in "".join(p.read_text() for p in (tmp_path / "j").glob("part*"))
     assert K.pretty_json(df, at("p.json")) == 3 and len(json.loads((tmp_path / "p.json").read_text())) == 3
     assert K.pretty_json(df.limit(0), at("e.json")) == 0 and json.loads((tmp_path / "e.json").read_text()) == []
+    with pytest.raises(ValueError):
+        K.pretty_json(df, at("many.json"), most=2)
     K.id_list(df, "id", at("ids"))
     assert [r[0] for r in spark.read.text(at("ids")).collect()] == ["a", "b"]
     K.csv_with_header(df, at("c"))
@@ -61,6 +63,12 @@ def test_sinks(spark, tmp_path):
     K.replace_with_backup(df.limit(1), at("r"))
     assert (spark.read.parquet(at("r")).count(), spark.read.parquet(at("r.bak")).count()) == (1, 3)
     assert K.append_unseen(df, at("a"), "id").count() == 2
+    assert K.append_unseen(df, at("o"), "id", order="v").where("id = 'b'").first()["v"] == "x"
+    for parts in (None, 3):
+        first = K.append_unseen(df, at(f"n{parts}"), "id", "v", parts)
+        again = K.append_unseen(df.selectExpr("nullif(id, 'a') AS id", "v"), at(f"n{parts}"), "id", "v", parts)
+        assert first.columns == again.columns == ["id", "v"] and sorted(map(str, (tuple(r) for r in again.collect()))) == ["('a', None)", "('b', 'x')", "(None, None)"]
+        assert K.append_unseen(df.selectExpr("nullif(id, 'a') AS id", "v"), at(f"n{parts}"), "id", "v", parts).count() == 3
     assert K.append_unseen(df.selectExpr("concat(id, '2') AS id", "v").unionByName(df), at("a"), "id").count() == 4
     assert K.cached_vectors(df, at("v"), "uri", "m").count() == K.cached_vectors(df.limit(0), at("v"), "uri", "m").count() == 3
     assert "| `id` | string | yes |" in K.table_readme(df, "T") and "f1" in K.summary("S", {"f1": 0.5, "n": 3})

@@ -1,4 +1,3 @@
-import re
 import string
 
 from hypothesis import given, settings
@@ -16,8 +15,9 @@ def one(spark, column, **values):
 
 
 def normal(s):
-    s = "".join(c for c in s.lower() if c not in string.punctuation)
-    return " ".join(re.sub(r"\b(a|an|the)\b", " ", s).split())
+    """Token by token: signs out, articles out."""
+    tokens = s.lower().translate({ord(c): None for c in string.punctuation}).split()
+    return " ".join(t for t in tokens if t not in {"a", "an", "the"})
 
 
 @given(st.lists(st.text(alphabet="aAnthe .,'é  -x\n", max_size=20), min_size=1, max_size=40))
@@ -43,6 +43,42 @@ def test_replies(spark):
     assert read("nothing here", can_answer=True)["answer_found"] is True
 
 
+def test_reply_objects(spark):
+    read = lambda text: one(spark, T.reply_object(F.col("t")), t=text)
+    assert read('x ```json\n{"a": {"b": {"c": 1}}}\n``` y {"d": 1}') == '{"a": {"b": {"c": 1}}}'
+    assert read('x ```\n[1, 2]\n``` y ```JSON {"d": 1}```') == '{"d": 1}'
+    assert read("x ```[1]``` {") == "[1]"
+    assert read('deep {"a": {"b": {"c": {}}}} and {"d": 1}') == '{"a": {"b": {"c": {}}}}'
+    assert read("never {closed {at} all") is None and read("none } here") is None and read("") is None and read(None) is None
+    assert read("``` open fence {1}") == "{1}"
+
+
+def test_fallback_answers(spark):
+    read = lambda text: tuple(one(spark, T.fallback_answer(F.col("t")), t=text))
+    assert read('```json\n{"answer_entities": ["A", 3], "reasoning_path": " ", "can_answer": false}\n```') == (True, T.NO_PATH, ["A", "3"], T.NO_ANSWER)
+    assert read(' {"reasoning_path": "p", "reasoning_summary": "s"} ') == (True, "p", [], "s")
+    assert read("no object") == (True, T.NO_PATH, [], T.NO_OBJECT)
+    assert read("{broken}") == (True, T.NO_PATH, [], T.NO_ANSWER) and read("") == read(None) == (True, T.NO_PATH, [], T.NO_ANSWER)
+
+
+def test_chat_styles(spark):
+    def prompt(style, system="S", roles=("U", "B"), **seps):
+        turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.lit(c).cast("string").alias("content"))
+        m = F.array(turn(roles[0], "hi"), turn(roles[1], "yo"), turn(roles[0], "a\r\n\r\nb"), turn(roles[1], None))
+        return spark.range(1).select(T.chat_prompt(F.lit(system), m, style, **seps)).first()[0]
+
+    assert prompt("add_colon_two", sep=" ", sep2="</s>") == "S U: hi B: yo</s>U: a\r\n\r\nb B:"
+    assert prompt("llama2", sep=" ", sep2=" </s>", roles=("[INST]", "[/INST]")) == "Shi [/INST] yo </s>[INST] a\r\n\r\nb [/INST]"
+    assert prompt("llama2", system="", sep=" ", sep2=" </s>", roles=("[INST]", "[/INST]")).startswith("[INST] hi [/INST]")
+    assert prompt("chatglm", sep="\n", first_round=1) == "S\n[Round 1]\nU：hi\nB：yo\n[Round 2]\nU：a\r\n\r\nb\nB："
+    assert prompt("chatml", system="", sep="<|e|>") == "U\nhi<|e|>\nB\nyo<|e|>\nU\na\r\n\r\nb<|e|>\nB\n"
+    assert prompt("rwkv", sep="") == "SU: hi\n\nB: yo\n\nU: a\nb\n\nB:"
+    assert prompt("dolly", sep="#", sep2="$") == "SU:\nhi#B:\nyo$\n\nU:\na\r\n\r\nb#B:\n"
+    assert prompt("chatintern", sep="<u>", sep2="<b>") == "S<s>U:hi<u>\nB:yo<b>\n<s>U:a\r\n\r\nb<u>\nB:"
+    # two styles differ only where there is no system text
+    assert len({(prompt(style, sep="#", sep2="$"), prompt(style, system="", sep="#", sep2="$")) for style in T.SEPARATOR_STYLES}) == 16
+
+
 def test_path_texts_and_back(spark):
     text = "A b.c-[r1]->B - x ; bad ; B - x-[r2]->C"
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(P.parse_steps(F.col("t")).alias("p"))
@@ -62,6 +98,9 @@ def test_templates_names_and_budgets(spark):
     assert one(spark, T.safe_file_name(F.col("t")), t="_a/b c?\\d_") == "a_b_c_d"
     assert one(spark, T.short_name(F.col("t")), t="x" * 65).startswith("x" * 64 + "_")
     assert one(spark, T.tail_lines(F.col("t"), 3), t="a b\nc d\ne") == "c d\ne"
+    head = lambda n, text, m="words": one(spark, T.head_lines(F.col("t"), n, m), t=text)
+    assert [head(n, "a b\nc d\ne") for n in (0, 2, 3, 4, 5)] == ["a b", "a b", "a b", "a b\nc d", "a b\nc d\ne"]
+    assert head(1, "") == "" and head(1, None) is None and head(8, "abc\ndef\ng", "chars") == "abc\ndef"
     assert one(spark, T.quoted_list(F.col("c")), c=["a", "b"]) == '"a", "b"'
     assert one(spark, T.rendered_options(F.col("c"), "zero"), c=["s", "r", "s"]) == "[REL_0] r\n[REL_1] s"
     rows = spark.createDataFrame([(1, "aaaa", 1), (1, "bb", 2), (1, "c", 3), (2, "d", 1)], "g int, t string, o int")

@@ -13,6 +13,7 @@ ARTICLES = r"\b(a|an|the)\b"
 ANSWER_MARK, REASONING_MARKS, SENTENCE_MARK = "# Answer:\n", ("# Reasoning Path:\n", "Reasoning path:\n"), "the answer is: "
 MEDIATOR = r"m\.[0-9a-z_]+"
 SELECTION = r"\[REL(\d+)\]"
+FENCE = "```"
 
 
 def normalize(text: Column) -> Column:
@@ -42,15 +43,50 @@ def selected(text: Column, candidates: Column) -> Column:
     return let(found, lambda f: F.filter(F.transform(candidates, lambda c, i: F.when(F.array_contains(f, i + 1), c)), lambda c: c.isNotNull()))
 
 
+def _first_object(text: Column) -> Column:
+    """From the first opening brace to the closing one that makes both as many; null if none does."""
+    pieces = F.split(F.substr(text, F.nullif(F.instr(text, "{"), F.lit(0))), r"\}")
+    opened = lambda piece: F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+    walked = lambda ps: F.aggregate(
+        F.slice(ps, F.lit(1), F.greatest(F.size(ps) - 1, F.lit(0))),  # each of them ends with a closing brace
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed")),
+        lambda acc, piece: F.when(acc["closed"], acc).otherwise(
+            F.struct((acc["depth"] + opened(piece) - 1).alias("depth"), (acc["n"] + 1).alias("n"), (acc["depth"] + opened(piece) == 1).alias("closed"))
+        ),
+    )
+    taken = lambda ps: let(walked(ps), lambda w: F.when(w["closed"], F.concat(F.array_join(F.slice(ps, F.lit(1), F.greatest(w["n"], F.lit(1))), "}"), F.lit("}"))))
+    return let(pieces, taken)
+
+
 def reply_object(text: Column) -> Column:
-    """The JSON object or array in a model's reply, as text: a fenced object, a fenced array, a bare
-    object with at most one level inside, else all from the first brace to the last if they balance."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    fenced_list = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(text, r"(\{(?:[^{}]|\{[^{}]*\})*\})", 1), F.lit(""))
-    wide = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    balanced = F.when(F.size(F.split(wide, r"\{")) == F.size(F.split(wide, r"\}")), wide)
-    return F.coalesce(fenced, fenced_list, bare, balanced)
+    """The JSON object or array in a model's reply, as text: the first fenced block that is an object, else
+    the first that is an array, else the first balanced object anywhere."""
+    blocks = F.filter(F.split(text, FENCE), lambda _, i: i % 2 == 1)
+    bare = F.transform(blocks, lambda x: F.btrim(F.when(F.lower(x).startswith("json"), F.substr(x, F.lit(5))).otherwise(x), F.lit(" \t\r\n")))
+    within = lambda first, last: F.get(F.filter(bare, lambda x: x.startswith(first) & x.endswith(last)), F.lit(0))
+    return F.coalesce(within("{", "}"), within("[", "]"), _first_object(text))
+
+
+#: What a fallback answer says where the reply gives nothing.
+NO_PATH, NO_ANSWER, NO_OBJECT = "[Parsing Failed: No path extracted]", "Failed to parse a valid response from the language model.", "Output format error: Expected a JSON object."
+
+
+def fallback_answer(text: Column) -> Column:
+    """``(can_answer, reasoning_path, answer_entities, reasoning_summary)`` of a last reply: the fenced object, or
+    the whole text if it is one; an answer is always taken as given, what is missing or blank has a default."""
+    blocks = F.filter(F.split(text, FENCE), lambda _, i: i % 2 == 1)
+    bare = F.transform(blocks, lambda x: F.btrim(F.when(F.lower(x).startswith("json"), F.substr(x, F.lit(5))).otherwise(x), F.lit(" \t\r\n")))
+    whole = F.btrim(text, F.lit(" \t\r\n"))
+    is_object = lambda x: x.startswith("{") & x.endswith("}")
+    found = F.coalesce(F.get(F.filter(bare, is_object), F.lit(0)), F.when(is_object(whole), whole))
+    read = F.from_json(found, "reasoning_path string, answer_entities array<string>, reasoning_summary string")
+    filled = lambda x, default: F.when(F.btrim(x) != "", x).otherwise(default)
+    return F.struct(
+        F.lit(True).alias("can_answer"),
+        filled(read["reasoning_path"], F.lit(NO_PATH)).alias("reasoning_path"),
+        F.coalesce(read["answer_entities"], F.array().cast("array<string>")).alias("answer_entities"),
+        filled(read["reasoning_summary"], F.when(found.isNull() & (F.coalesce(text, F.lit("")) != ""), NO_OBJECT).otherwise(NO_ANSWER)).alias("reasoning_summary"),
+    )
 
 
 REPLY = "answer_found boolean, answer_entities array<string>, reasoning_summary string, reasoning_path string, next_exploration_step struct<question:string,entity:string>"
@@ -141,6 +177,22 @@ def packed_to_budget(df: DataFrame, group: list[str], text: str, order: Column,
     )
 
 
+def head_lines(text: Column, budget: int, measure: str = "words") -> Column:
+    """A text without the last lines that make it longer than ``budget``; the first line always stays."""
+    kept = lambda lines: F.aggregate(
+        lines,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full")),
+        lambda acc, x: F.when(acc["full"] | ((acc["n"] > 0) & (acc["used"] + _line_size(x, measure) > budget)), F.struct(acc["n"].alias("n"), acc["used"].alias("used"), F.lit(True).alias("full"))).otherwise(
+            F.struct((acc["n"] + 1).alias("n"), (acc["used"] + _line_size(x, measure)).alias("used"), F.lit(False).alias("full"))
+        ),
+    )
+    return let(F.split(text, "\n"), lambda lines: F.array_join(F.slice(lines, F.lit(1), kept(lines)["n"]), "\n"))
+
+
+def _line_size(line: Column, measure: str) -> Column:
+    return approximate_tokens(line, measure) + (1 if measure == "chars" else 0)
+
+
 def tail_lines(text: Column, budget: int) -> Column:
     """The last lines of a text whose words together don't exceed ``budget``."""
     lines = F.reverse(F.split(text, "\n"))
@@ -168,3 +220,57 @@ def chat_text(messages: Column, style: str) -> Column:
     marks, end = CHAT_STYLES[style]
     before = lambda m: F.coalesce(*(F.when(m["role"] == role, F.lit(mark)) for role, mark in marks.items()), F.concat(m["role"], F.lit(": ")))
     return F.array_join(F.transform(messages, lambda m: F.concat(before(m), m["content"], F.lit(end))), "")
+
+
+#: The separator styles of chat prompts: what opens the prompt (``system`` and ``sep``; a mark after
+#: ``?`` only with a system text), what stands between role and message, what ends a turn (``alt``: sep and sep2
+#: in turn), what follows the role of a turn that is still open, what comes before every even and after every odd turn.
+SEPARATOR_STYLES = {
+    "add_colon_single": ("system sep", ": ", "sep", ":", "", ""),
+    "add_colon_two": ("system sep", ": ", "alt", ":", "", ""),
+    "add_colon_space_single": ("system sep", ": ", "sep", ": ", "", ""),
+    "no_colon_single": ("system", "", "sep", "", "", ""),
+    "no_colon_two": ("system", "", "alt", "", "", ""),
+    "add_new_line_single": ("system ?sep", "\n", "sep", "\n", "", ""),
+    "llama2": ("system", " ", "alt", "", "", ""),
+    "chatglm": ("system ?sep", "：", "sep", "：", "round", ""),
+    "chatml": ("system ?sep ?line", "\n", "sep line", "\n", "", ""),
+    "chatintern": ("system", ":", "alt line", ":", "<s>", ""),
+    "dolly": ("system", ":\n", "alt", ":\n", "", "\n\n"),
+    "rwkv": ("system", ": ", "line line", ":", "", ""),
+    "phoenix": ("system", ": <s>", "</s>", ": <s>", "", ""),
+    "robin": ("system sep", ":\n", "sep", ":\n", "", ""),
+    "falcon_chat": ("system ?sep", ": ", "sep", ":", "", ""),
+    "chatglm3": ("system", "\n ", "", "", "", ""),
+}
+
+
+def chat_prompt(system: Column, messages: Column, style: str, sep: str, sep2: str = "", first_round: int = 0) -> Column:
+    """A system text and a list of ``(role, content)`` in one of the separator styles; a turn without
+    content is one that the model is to fill."""
+    head, middle, end, left_open, before_even, after_odd = SEPARATOR_STYLES[style]
+    known = F.coalesce(system, F.lit(""))
+    filled = lambda m: F.coalesce(m["content"], F.lit("")) != ""
+
+    def mark(name: str, i: Column | None = None) -> Column:
+        if name.startswith("?"):
+            return F.when(known != "", mark(name[1:])).otherwise("")
+        if name == "alt":
+            return F.when(i % 2 == 0, sep).otherwise(sep2)
+        return {"system": known, "sep": F.lit(sep), "line": F.lit("\n")}.get(name, F.lit(name))
+
+    def said(m: Column, i: Column) -> Column:
+        content = m["content"]
+        if style == "rwkv":
+            content = F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\n\n"), F.lit("\n"))
+        full = F.concat(m["role"], F.lit(middle), content, *(mark(name, i) for name in end.split()), F.when(i % 2 == 1, after_odd).otherwise(""))
+        return F.when(i == 0, F.concat(content, F.lit(" "))).otherwise(full) if style == "llama2" else full
+
+    def turn(m: Column, i: Column) -> Column:
+        before = F.concat(F.lit("[Round "), (F.floor(i / 2) + first_round).cast("string"), F.lit("]"), F.lit(sep)) if before_even == "round" else F.lit(before_even)
+        return F.concat(F.when(i % 2 == 0, before).otherwise(""), F.when(filled(m), said(m, i)).otherwise(F.concat(m["role"], F.lit(left_open))))
+
+    opening = [mark(name) for name in head.split()]
+    if style == "llama2":
+        opening = [F.when(known != "", known).otherwise("[INST] ")]
+    return F.concat(*opening, F.array_join(F.transform(messages, turn), ""))

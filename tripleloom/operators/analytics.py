@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.text import approximate_tokens
+
 
 def last_by(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key, as a load into a dictionary keeps it; one aggregation, no sort."""
@@ -106,3 +108,13 @@ def failure_reason(text: Column, gold: Column) -> Column:
         .when(F.exists(F.coalesce(gold, F.array().cast("array<string>")), lambda g: F.instr(F.lower(g), plain) > 0), "partial")
         .otherwise("other")
     )
+
+
+def call_counters(calls: DataFrame, keys: list[str], prompt: str, answer: str, measure: str = "words") -> DataFrame:
+    """``(<keys>, calls, prompt_tokens, answer_tokens, tokens)``: what a model was asked and what it said, counted as
+    columns, so that a task that runs again counts once; null texts have no tokens."""
+    size = lambda c: approximate_tokens(F.coalesce(c, F.lit("")), measure).cast("long")
+    counted = calls.select(*keys, size(prompt).alias("__p"), size(answer).alias("__a"))
+    return counted.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("__p").alias("prompt_tokens"), F.sum("__a").alias("answer_tokens"), F.sum(F.col("__p") + F.col("__a")).alias("tokens")
+    )

@@ -18,24 +18,39 @@ def first_by_name(options: DataFrame, k: int) -> DataFrame:
     return options.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
-def expansion_round(frontier: DataFrame, kg: DataFrame, k: int, selector: Selector = first_by_name) -> DataFrame:
-    """``(qid, entity, r, t)``: what a round sees from ``frontier(qid, entity)``: all relations of a node
-    that has at most ``k``, else those the selector takes; relations without targets are skipped."""
+def chosen_relations(frontier: DataFrame, kg: DataFrame, k: int, selector: Selector = first_by_name) -> DataFrame:
+    """``(qid, entity, r)``: the relations a round follows from ``frontier(qid, entity)``: all of a node that has
+    at most ``k``, else those the selector takes.
+
+    Relations are counted per node, not per question, and only nodes of the frontier are looked at."""
+    asked = frontier.select("qid", "entity").distinct()
+    relations = kg.select(F.col("h").alias("entity"), "r").distinct()
+    wide = relations.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
+    options = asked.join(wide, "entity").join(relations, "entity")
+    some = options.where(F.col("m") <= k).select("qid", "entity", "r")
+    return some.unionByName(selector(options.where(F.col("m") > k).select("qid", "entity", "r"), k).select("qid", "entity", "r"))
+
+
+def round_targets(chosen: DataFrame, kg: DataFrame) -> DataFrame:
+    """``(entity, r, t)``: what the chosen relations lead to, once for each node however many questions stand there."""
     edges = kg.select(F.col("h").alias("entity"), "r", "t").distinct()
-    relations = edges.select("entity", "r").distinct()
-    # relations are counted per node, not per question, and distinct edges keep the result distinct
-    few = relations.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    asked = frontier.select("qid", "entity").distinct().join(few, "entity")
-    option = lambda some: some.select("qid", "entity").join(relations, "entity").select("qid", "entity", "r")
-    chosen = option(asked.where(F.col("m") <= k)).unionByName(selector(option(asked.where(F.col("m") > k)), k))
-    return chosen.join(edges, ["entity", "r"]).select("qid", "entity", "r", "t")
+    return edges.join(chosen.select("entity", "r").distinct(), ["entity", "r"], "left_semi")
+
+
+def expansion_round(frontier: DataFrame, kg: DataFrame, k: int, selector: Selector = first_by_name) -> DataFrame:
+    """``(qid, entity, r, t)``: chosen_relations with their targets for every question; relations without
+    targets are skipped.  Where hubs are asked often, chosen_relations and round_targets say the same in
+    fewer rows."""
+    chosen = chosen_relations(frontier, kg, k, selector)
+    return chosen.join(kg.select(F.col("h").alias("entity"), "r", "t").distinct(), ["entity", "r"]).select("qid", "entity", "r", "t")
 
 
 def explore(starts: DataFrame, kg: DataFrame, answers: DataFrame, rounds: int, k: int, selector: Selector = first_by_name) -> DataFrame:
     """``(qid, round, entity, r, t)``: rounds until an answer ``(qid, t)`` is seen or ``rounds`` are over.
 
-    The next frontier is what was seen and not visited.  Each round is written once, so a lost
-    executor costs one round at most."""
+    The next frontier is what was seen and not visited.  The graph and each round are written once, so
+    a lost executor costs one round at most."""
+    kg = cut_lineage(kg.select("h", "r", "t").distinct())
     frontier, visited, trace = starts.select("qid", "entity").distinct(), None, None
     for n in range(1, rounds + 1):
         seen = cut_lineage(expansion_round(frontier, kg, k, selector).withColumn("round", F.lit(n)))

@@ -189,6 +189,19 @@ def classification_losses(scores: DataFrame, prompt: str, score: str, label: str
     return scores.groupBy(prompt).agg(F.avg(bce).alias("bce"), F.avg(F.when(F.col(label) == 1, -F.log(p))).alias("positive_loss"), F.avg(kl).alias("kl"))
 
 
+def mpo_loss(scores: DataFrame, prompt: str, score: str, label: str, classification_weight: float = 1.0, contrast_weight: float = 1.0) -> DataFrame:
+    """One row ``(classification_loss, contrast_loss, total_loss, classification_accuracy)``: the cross entropy of
+    all candidates, the mean over prompts of the mean over their pairs of a right and a wrong one, and their
+    weighted sum; a prompt without pairs takes no part in the second, which is 0 if there are none."""
+    p = 1 / (1 + F.exp(-F.col(score)))
+    bce = -(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p))
+    right = ((p > 0.5) == (F.col(label) == 1)).cast("int")
+    one = scores.agg(F.avg(bce).alias("classification_loss"), F.avg(right).alias("classification_accuracy"))
+    two = pair_losses(scores, prompt, score, label).agg(F.coalesce(F.avg("contrast_loss"), F.lit(0.0)).alias("contrast_loss"))
+    total = classification_weight * F.col("classification_loss") + contrast_weight * F.col("contrast_loss")
+    return one.crossJoin(two).select("classification_loss", "contrast_loss", total.alias("total_loss"), "classification_accuracy")  # one row each
+
+
 def reward_summary(scores: DataFrame, prompt: str, score: str, label: str) -> DataFrame:
     """One row: mean reward of right and of wrong candidates, their margin, and the share of prompts in
     which the right ones' mean is larger."""

@@ -57,6 +57,20 @@ def gate(states: DataFrame, key: str, ids: str, trie: DataFrame) -> DataFrame:
     return s.join(trie, "prefix", "left").select(key, F.col("prefix").isNotNull().alias("constrained"), "next")
 
 
+def free(asked: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``(prefix, next)``: the stand-in that allows the same given tokens after every asked prefix."""
+    return asked.select("prefix").distinct().select("prefix", F.explode(F.array(*map(F.lit, sorted(set(vocabulary))))).alias("next"))
+
+
+def staged(asked: DataFrame, tokens: str, vocabulary: list[str], end_mention: str, start_entity: str, end_entity: str, start_mention: str, end: str = END) -> DataFrame:
+    """``(<tokens>, next)``: the stand-in for mentions with an entity: nothing said, the mention must end; one
+    token, the entity must begin; after the entity's end the text ends; else any token but the three marks."""
+    free_tokens = sorted(set(vocabulary) - {start_mention, end_mention, start_entity})
+    n = F.size(tokens)
+    only = F.when((n > 0) & (F.element_at(tokens, -1) == end_entity), end).when(n == 0, end_mention).when(n == 1, start_entity)
+    return asked.select(tokens, F.explode(F.when(only.isNotNull(), F.array(only)).otherwise(F.array(*map(F.lit, free_tokens)))).alias("next"))
+
+
 def fixed(spark: SparkSession, sequences: list[list[str]]) -> DataFrame:
     """A trie of a few given sequences, as stand-in for an index."""
     return build(spark.createDataFrame([(s,) for s in sequences], "s array<string>"), "s")

@@ -25,25 +25,76 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _against(keys: DataFrame, queries: DataFrame, metric: str, block: int, keep: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``(query, key, score)``: every block of queries against every key in matrix products; ``keep``
-    thins the scores of a partition, again and again, before anything is shuffled."""
+class _Scores:
+    """``(query, key, score)`` triples of one partition, kept as arrays."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        if len(query):
+            self.parts.append((query, key, score))
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*self.parts))
+
+    def best(self, k: int) -> None:
+        """Keeps the best ``k`` of each query; ties go to the smaller key."""
+        if not self.parts:
+            return
+        query, key, score = self.joined()
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], -score, query))
+        query = query[order]
+        begins = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        rank = np.arange(len(query)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(query)]])))
+        order = order[rank < k]
+        self.parts = [(query[rank < k], key[order], score[order])]
+
+
+#: Keys scored at a time, and triples held before a partition's best are picked again.
+ROWS, HELD = 1000, 500_000
+
+
+def _against(keys: DataFrame, queries: DataFrame, metric: str, block: int, k: int | None, least: float = -np.inf) -> DataFrame:
+    """``(query, key, score)``: every block of queries against every key in matrix products.
+
+    Of each product only scores that may be among the best ``k`` of their query so far, or are at
+    least ``least``, leave the matrix."""
     kinds = dict(keys.dtypes)["key"], dict(queries.dtypes)["query"]
 
     def scorer(names: list, q: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         q = _unit(q) if metric == "cosine" and names else q
 
+        def frame(found: _Scores) -> pd.DataFrame:
+            query, key, score = found.joined()
+            return pd.DataFrame({"query": np.array(names, dtype=object)[query], "key": key, "score": score})
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
+            found, held, border = _Scores(), 0, np.full(len(names), -np.inf)
             for b in batches:
-                if b.empty or not names:
-                    continue
-                m = np.array(b["v"].tolist(), dtype=np.float64)
-                s = np.round((_unit(m) if metric == "cosine" else m) @ q.T, 9)
-                one = keep(pd.DataFrame({"query": np.repeat(np.array(names, dtype=object), len(b)), "key": np.tile(b["key"].to_numpy(), len(names)), "score": s.T.ravel()}))
-                best = one if best is None else keep(pd.concat([best, one]))
-            if best is not None:
-                yield best
+                for start in range(0, len(b) if names else 0, ROWS):
+                    part = b.iloc[start : start + ROWS]
+                    m = np.array(part["v"].tolist(), dtype=np.float64)
+                    s = np.nan_to_num(np.round((_unit(m) if metric == "cosine" else m) @ q.T, 9), nan=-np.inf)
+                    if k is None:
+                        row, query = np.nonzero(s >= least)
+                    else:
+                        if len(s) > k:
+                            border = np.maximum(border, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+                        row, query = np.nonzero(s >= border)
+                    found.add(query, part["key"].to_numpy()[row], s[row, query])
+                    held += len(row)
+                    if held > HELD:
+                        if k is None:
+                            yield frame(found)
+                            found, held = _Scores(), 0
+                        else:
+                            found.best(k)
+                            held = len(found.parts[0][0])
+            if k is not None:
+                found.best(k)
+            if found.parts:
+                yield frame(found)
 
         return run
 
@@ -60,14 +111,13 @@ def top_k(keys: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", b
 
     A partition keeps its best ``k`` per query.  Scores are rounded to 9 places, ties go to the
     smaller key.  Null vectors take no part."""
-    best = lambda df: df.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query", sort=False).head(k)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return _against(keys, queries, metric, block, best).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _against(keys, queries, metric, block, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def alike(keys: DataFrame, queries: DataFrame, least: float, metric: str = "cosine", block: int = 2000) -> DataFrame:
     """``(query, key, score)`` of all pairs whose score is at least ``least``; see top_k."""
-    return _against(keys, queries, metric, block, lambda df: df[df["score"] >= least])
+    return _against(keys, queries, metric, block, None, least)
 
 
 def ranked_relations(edges: DataFrame, relations: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -16,7 +16,7 @@ from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.paths import PATH_TYPE
@@ -28,6 +28,16 @@ Path = tuple[Step, ...]
 Found = Iterable[tuple[Path, tuple]]
 
 
+def confidence_bound(wins: float, tries: int, whole: int, weight: float = 1.0) -> float:
+    """UCB1: the mean of what was won, and ``weight`` times more for what was tried less often."""
+    return math.inf if not tries else wins / tries + weight * math.sqrt(math.log(whole) / tries)
+
+
+def bound_column(wins: Column, tries: Column, whole: Column, weight: float = 1.0) -> Column:
+    """confidence_bound of columns; null without tries."""
+    return F.when(tries > 0, wins / tries + weight * F.sqrt(F.log(whole) / tries))
+
+
 class QuestionGraph:
     """One row's graph in memory."""
 
@@ -134,7 +144,7 @@ class QuestionGraph:
             while line[-1].children:
                 n = line[-1]
                 fresh = [c for c in n.children if not c.tries]
-                line.append(rng.choice(fresh) if fresh else max(n.children, key=lambda c, n=n: c.wins / c.tries + math.sqrt(2 * math.log(n.tries) / c.tries)))
+                line.append(rng.choice(fresh) if fresh else max(n.children, key=lambda c, n=n: confidence_bound(c.wins, c.tries, n.tries)))
             leaf = line[-1]
             if leaf.children is None and leaf.at != end:
                 leaf.children = [_Node((*leaf.path, s), s[2], leaf.seen | {s[2]}) for s in self.out.get(leaf.at, ()) if s[2] not in leaf.seen]

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FLAGSHIP = "a01_path_index"
-MODULES = ["training_data", "graph", "text", "evaluate", "rows"]
+MODULES = ["training_data", "graph", "text", "evaluate", "rows", "tables_io", "more"]
 
 
 def load_all() -> None:

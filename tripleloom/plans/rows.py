@@ -14,6 +14,7 @@ from tripleloom.plans.evaluate import SCORES, candidate_scores, rounded
 from tripleloom.plans.graph import KG, NODES, TRUTH, W, clean, knowledge, questions, triples_of
 from tripleloom.plans.registry import query
 from tripleloom.plans.sqlparts import members, strip, triples
+from tripleloom.session import cut_lineage
 from tripleloom.tables import load
 
 # -- vectors: relations and entities get the vectors of ``embeddings`` by a hash of their name
@@ -205,32 +206,25 @@ def path_items(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder).select("qid", F.array_join("positive_paths", "|").alias("positive_paths"), F.array_join("negative_paths", "|").alias("negative_paths"))
 
 
-# -- decision points and training rows, from the one- and two-step walks: those to an answer lead on
+# -- decision points and training rows, from the path items: positive paths of all lengths lead on, negative ones astray
 
 STEPX = r"'^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)'"
-POINTS = f"""wk AS (SELECT DISTINCT w.qid, w.path, e.qid IS NOT NULL AS good FROM (SELECT qid, here, path FROM walk) w LEFT JOIN ends e ON e.qid = w.qid AND e.e = w.here),
+POINTS = f"""wk AS (SELECT DISTINCT qid, path, true AS good FROM truth WHERE hops > 0 UNION ALL SELECT qid, path, false FROM negs),
 st AS (SELECT qid, good, array_to_string(w[1:i - 1], ' ; ') AS history, w[i] AS s FROM (SELECT qid, good, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT qid, good, string_split(path, ' ; ') AS w FROM wk))),
 ch AS (SELECT qid, good, history, regexp_extract(s, {STEPX}, 1) AS entity, regexp_extract(s, {STEPX}, 2) AS r FROM st),
 points AS (SELECT qid, history, entity, list_sort(list(DISTINCT r) FILTER (WHERE good)) AS pos, coalesce(list_sort(list(DISTINCT r) FILTER (WHERE NOT good)), []::VARCHAR[]) AS neg FROM ch GROUP BY qid, history, entity HAVING bool_or(good)),
 pool AS (SELECT *, list_sort(list_distinct(list_concat(pos, neg))) AS pool FROM points)"""
-VISIT2 = """walk(qid, here, hops, path) AS (
-  SELECT s.qid, e.t, 1, e.h || '-[' || e.r || ']->' || e.t FROM starts s JOIN edges e ON e.qid = s.qid AND e.h = s.e
-  UNION ALL SELECT w.qid, e.t, w.hops + 1, w.path || ' ; ' || e.h || '-[' || e.r || ']->' || e.t FROM walk w JOIN edges e ON e.qid = w.qid AND e.h = w.here WHERE w.hops < 2)"""
-FW = f"WITH RECURSIVE {W}, {VISIT2}, {POINTS}"
+ITEM_PATHS = f"{W}, {NODES}, {TRUTH}, {KG}, {PERTURBED}, {NEGATIVES}, {POINTS}"
+FW = f"WITH RECURSIVE {ITEM_PATHS}"
 
 
-def walk_items(spark: SparkSession, folder: str) -> DataFrame:
-    """``(qid, positive_paths, negative_paths)`` as texts: the walks that end at an answer and the others."""
-    rows = questions(spark, folder)
-    ends = rows.select("qid", F.explode(G.start_entities(F.col("a_entity"))).alias("end")).withColumn("good", F.lit(True))
-    found = walks.walks(rows, 2, key="qid").withColumn("end", F.element_at("path", -1)["t"]).join(ends, ["qid", "end"], "left")
-    texts = found.select("qid", P.steps_text(F.col("path")).alias("path"), F.coalesce("good", F.lit(False)).alias("good"))
-    gather = lambda good: F.sort_array(F.collect_set(F.when(F.col("good") == good, F.col("path"))))
-    return texts.groupBy("qid").agg(gather(True).alias("positive_paths"), gather(False).alias("negative_paths"))
+def path_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(qid, positive_paths, negative_paths)``: the path items, written once for what reads them several times."""
+    return cut_lineage(items(spark, folder))
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    return training.candidate_pool(training.decision_points(walk_items(spark, folder), "qid", "positive_paths", "negative_paths"))
+    return training.candidate_pool(training.decision_points(path_rows(spark, folder), "qid", "positive_paths", "negative_paths"))
 
 
 def joined(df: DataFrame, *names: str) -> DataFrame:
@@ -244,7 +238,7 @@ def decision_points(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("f02_first_steps", f"{FW} SELECT DISTINCT qid, history, entity FROM ch WHERE good")
 def first_steps(spark: SparkSession, folder: str) -> DataFrame:
-    c = training.choices(walk_items(spark, folder), "qid", "positive_paths")
+    c = training.choices(path_rows(spark, folder), "qid", "positive_paths")
     return I.first_by(c.withColumn("at", F.struct("path_no", "step")), ["qid", "history", "entity"], "at").select("qid", "history", "entity")
 
 
@@ -253,7 +247,7 @@ KGR = f"{triples('rog_webqsp', 'ga')}, kgr AS (SELECT h AS entity, list_sort(lis
 
 @query("f03_pool_of_graph", f"{FW}, {KGR} SELECT qid, history, p.entity, array_to_string(list_sort(list_distinct(list_concat(pool, coalesce(rs, [])))), '|') AS pool FROM pool p LEFT JOIN kgr USING (entity)")
 def pool_of_graph(spark: SparkSession, folder: str) -> DataFrame:
-    p = training.decision_points(walk_items(spark, folder), "qid", "positive_paths", "negative_paths")
+    p = training.decision_points(path_rows(spark, folder), "qid", "positive_paths", "negative_paths")
     return joined(training.candidate_pool(p, "kg_allhop", triples_of(spark, folder)), "pool").select("qid", "history", "entity", "pool")
 
 
@@ -261,7 +255,7 @@ def pool_of_graph(spark: SparkSession, folder: str) -> DataFrame:
 d AS (SELECT qid, history, entity, list(x) AS xs FROM (FROM o QUALIFY row_number() OVER (PARTITION BY qid, history, entity ORDER BY md5('pool|' || entity || '|' || x)) <= 2) GROUP BY qid, history, entity)
 SELECT qid, history, entity, array_to_string(list_sort(list_concat(pool, coalesce(xs, []))), '|') AS pool FROM pool LEFT JOIN d USING (qid, history, entity)""")
 def pool_with_distractors(spark: SparkSession, folder: str) -> DataFrame:
-    p = training.decision_points(walk_items(spark, folder), "qid", "positive_paths", "negative_paths")
+    p = training.decision_points(path_rows(spark, folder), "qid", "positive_paths", "negative_paths")
     return joined(training.candidate_pool(p, "pn_kg_supplement", triples_of(spark, folder), 2), "pool").select("qid", "history", "entity", "pool")
 
 
@@ -272,7 +266,7 @@ oth AS (SELECT qid, history, entity, x FROM (SELECT *, unnest(list_filter(pool,
 cut AS (SELECT qid, history, entity, list(x) AS xs FROM oth GROUP BY qid, history, entity)
 SELECT qid, history, entity, array_to_string(CASE WHEN len(pool) > 6 THEN list_sort(list_concat(known, coalesce(xs, []))) ELSE pool END, '|') AS pool FROM big LEFT JOIN cut USING (qid, history, entity)""")
 def limited_pool(spark: SparkSession, folder: str) -> DataFrame:
-    p = training.decision_points(walk_items(spark, folder), "qid", "positive_paths", "negative_paths")
+    p = training.decision_points(path_rows(spark, folder), "qid", "positive_paths", "negative_paths")
     big = training.candidate_pool(p, "kg_allhop", triples_of(spark, folder))
     return joined(training.limited_pool(big, 6, 2), "pool").select("qid", "history", "entity", "pool")
 
@@ -310,9 +304,9 @@ for _name, _tagged, _line in (("f08_sft", True, "'[REL_' || (list_position(pool,
         return training.sft_completions(points(spark, folder), 2, tagged).select("qid", "history", "entity", "completion")
 
 
-@query("f11_contrast_pairs", f"WITH RECURSIVE {W}, {VISIT2}, {POINTS} SELECT a.qid, a.path AS chosen, b.path AS rejected FROM wk a JOIN wk b ON a.qid = b.qid AND a.good AND NOT b.good")
+@query("f11_contrast_pairs", f"{FW} SELECT a.qid, a.path AS chosen, b.path AS rejected FROM wk a JOIN wk b ON a.qid = b.qid AND a.good AND NOT b.good")
 def contrast_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    it = walk_items(spark, folder).withColumn("semantic", F.array().cast("array<string>"))
+    it = path_rows(spark, folder).withColumn("semantic", F.array().cast("array<string>"))
     return training.contrast_pairs(it, "qid", "positive_paths", "semantic", "negative_paths")
 
 
@@ -353,11 +347,11 @@ def row_ids(spark: SparkSession, folder: str) -> DataFrame:
     return points(spark, folder).select(training.row_id("dpo", F.col("qid"), F.col("history"), F.col("entity")).alias("id"))
 
 
-FREQ = f"WITH RECURSIVE {W}, {VISIT2}, {POINTS}, freq AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE good) AS pos, count(*) FILTER (WHERE NOT good) AS neg FROM ch GROUP BY r)"
+FREQ = f"{FW}, freq AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE good) AS pos, count(*) FILTER (WHERE NOT good) AS neg FROM ch GROUP BY r)"
 
 
 def relation_counts(spark: SparkSession, folder: str) -> DataFrame:
-    it = walk_items(spark, folder)
+    it = path_rows(spark, folder)
     side = lambda c, good: training.choices(it, "qid", c).select("r", F.lit(good).alias("good"))
     both = side("positive_paths", True).unionByName(side("negative_paths", False))
     return both.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("pos"), F.count_if(~F.col("good")).alias("neg"))
@@ -378,7 +372,7 @@ GLOBAL = "everywhere AS (SELECT history, entity, len(list(DISTINCT r) FILTER (WH
 
 @query("a04_choice_distribution", f"{FW}, {GLOBAL} SELECT p + m AS choices, count(*) AS n FROM everywhere GROUP BY choices")
 def choice_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    it = walk_items(spark, folder)
+    it = path_rows(spark, folder)
     count = lambda c, name: training.choices(it, "qid", c).groupBy("history", "entity").agg(F.count_distinct("r").alias(name))
     sizes = count("positive_paths", "p").join(count("negative_paths", "m"), ["history", "entity"], "left")
     return sizes.groupBy((F.col("p") + F.coalesce("m", F.lit(0))).alias("choices")).agg(F.count(F.lit(1)).alias("n"))
@@ -449,15 +443,32 @@ ROUND = f"""rel AS (SELECT DISTINCT s.qid, e.h AS entity, e.r FROM starts s JOIN
 seen1 AS (SELECT DISTINCT k.qid, k.entity, k.r, c.t FROM kept k JOIN clean c ON c.h = k.entity AND c.r = k.r)"""
 
 
+def frontier(spark: SparkSession, folder: str) -> DataFrame:
+    return questions(spark, folder).select("qid", F.explode(G.start_entities(F.col("q_entity"))).alias("entity"))
+
+
 @query("x02_expansion_round", f"WITH {W}, {KG}, {ROUND} SELECT qid, entity, r, t FROM seen1")
 def expansion_round(spark: SparkSession, folder: str) -> DataFrame:
-    frontier = questions(spark, folder).select("qid", F.explode(G.start_entities(F.col("q_entity"))).alias("entity"))
-    return explore.expansion_round(frontier, clean(spark, folder), 3)
+    return explore.expansion_round(frontier(spark, folder), cut_lineage(clean(spark, folder)), 3)
+
+
+@query("x02_chosen_relations", f"WITH {W}, {KG}, {ROUND} SELECT qid, entity, r FROM kept")
+def round_relations(spark: SparkSession, folder: str) -> DataFrame:
+    return explore.chosen_relations(frontier(spark, folder), cut_lineage(clean(spark, folder)), 3)
+
+
+@query("x02_round_targets", f"WITH {W}, {KG}, {ROUND} SELECT DISTINCT entity, r, t FROM seen1")
+def round_targets(spark: SparkSession, folder: str) -> DataFrame:
+    kg = cut_lineage(clean(spark, folder))
+    return explore.round_targets(explore.chosen_relations(frontier(spark, folder), kg, 3), kg)
 
 
 @query("x03_recorded_targets", f"WITH {W}, {KG}, {ROUND} SELECT qid, entity, r, count(*) AS targets FROM seen1 GROUP BY qid, entity, r")
 def recorded_targets(spark: SparkSession, folder: str) -> DataFrame:
-    return expansion_round(spark, folder).groupBy("qid", "entity", "r").agg(F.count(F.lit(1)).alias("targets"))
+    kg = cut_lineage(clean(spark, folder))
+    chosen = explore.chosen_relations(frontier(spark, folder), kg, 3)
+    sizes = explore.round_targets(chosen, kg).groupBy("entity", "r").agg(F.count(F.lit(1)).alias("targets"))  # once a node, not a question
+    return chosen.join(sizes, ["entity", "r"]).select("qid", "entity", "r", "targets")
 
 
 @query("x04_exploration", f"""WITH {W}, {KG}, {ROUND}, done AS (SELECT DISTINCT s.qid FROM seen1 s JOIN ends ON ends.qid = s.qid AND ends.e = s.t),
@@ -634,12 +645,16 @@ def all_training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t20_history_keys", f"{FW} SELECT DISTINCT qid, history FROM ch WHERE NOT good")
 def history_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return training.choices(walk_items(spark, folder), "qid", "negative_paths").select("qid", "history").distinct()
+    return training.choices(path_rows(spark, folder), "qid", "negative_paths").select("qid", "history").distinct()
 
 
-@query("v03_encoded_entities")
+@query("v03_encoded_entities", f"""WITH {KG}, names AS (SELECT DISTINCT trim(e, ' ') AS key FROM (SELECT h AS e FROM clean UNION ALL SELECT t FROM clean)),
+w AS (SELECT key, unnest(list_filter(string_split_regex(lower(key), '\\s+'), lambda x: x <> '')) AS w FROM names),
+d AS (SELECT key, ('0x' || substr(md5(w), 15, 2))::INT % 64 AS dim, sum(CASE WHEN ('0x' || substr(md5(w), 1, 1))::INT >= 8 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL)
+SELECT key, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY key)), 4) AS x FROM d WHERE x <> 0""")
 def encoded_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.encode(G.entities(clean(spark, folder)), "entity", vectors.hashed_words)
+    vectors_of = vectors.encode(G.entities(clean(spark, folder)), "entity", vectors.hashed_words)
+    return vectors_of.select("key", F.posexplode("v").alias("dim", "x")).where("x <> 0").select("key", "dim", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 @query("r05_marked_trie", f"""WITH {triples('rog_cwq')}, seqs AS (SELECT DISTINCT list_concat(['<PATH>'], list_filter(string_split_regex(h || ' ' || r || ' ' || t, '\\s+'), lambda x: x <> ''), ['</PATH>', '</s>']) AS s FROM trip)

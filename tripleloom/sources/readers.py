@@ -36,7 +36,9 @@ def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str, str
 
 def json_lines_with_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As json_lines with the bad lines' text in ``_corrupt_record``, so that they can be counted."""
-    return spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(read.alias("x")).select("x.*")
 
 
 def tagged(sources: dict[str, DataFrame], column: str = "dataset_source_name") -> DataFrame:
@@ -53,10 +55,9 @@ def head(df: DataFrame, n: int, order: str, zero_is_all: bool = False) -> DataFr
     return df if n < 0 or (n == 0 and zero_is_all) else df.orderBy(order).limit(n)
 
 
-def header_names(path: str, separator: str = ",") -> list[str]:
+def header_names(spark: SparkSession, path: str, separator: str = ",") -> list[str]:
     """The column names of a header file; what follows a colon is a type and left out."""
-    with open(path, encoding="utf-8") as f:
-        cells = f.readline().rstrip("\r\n").split(separator)
+    cells = spark.read.text(path).first()["value"].split(separator)
     return [c.split(":")[0] or c.strip(":").lower() for c in cells]
 
 
@@ -88,6 +89,6 @@ def string_or_list(column: str) -> Column:
 
 def node_edge_tables(spark: SparkSession, nodes: str, edges: str, node_header: str, edge_header: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph's CSV files with headers of their own, each node and edge once."""
-    n = headerless_csv(spark, nodes, header_names(node_header))
-    e = headerless_csv(spark, edges, header_names(edge_header))
+    n = headerless_csv(spark, nodes, header_names(spark, node_header))
+    e = headerless_csv(spark, edges, header_names(spark, edge_header))
     return n.dropDuplicates([n.columns[0]]), e.dropDuplicates()

@@ -9,6 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The partition column of tables that rows are appended to by key.
+PART = "key_part"
 
 def json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     """One record a line; letters stay letters."""
@@ -23,16 +25,21 @@ def csv_with_header(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def pretty_json(df: DataFrame, path: str) -> int:
-    """One indented JSON list in a local file, written record by record; for results meant to be read."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for row in df.toLocalIterator():
-            f.write(",\n" if n else "\n")
-            f.write(json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str))
-            n += 1
-        f.write("\n]\n" if n else "]\n")
+def pretty_json(df: DataFrame, path: str, most: int = 1_000_000) -> int:
+    """One indented JSON list in a single file, for results meant to be read; how many records it holds.
+
+    A table of more than ``most`` rows is an error: write it as lines instead."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows; write them as lines")
+    fs, p, jvm = _files(df.sparkSession, path)
+    out = jvm.java.io.BufferedOutputStream(fs.create(p))
+    try:
+        for k, row in enumerate(df.toLocalIterator()):
+            out.write(bytearray(("[\n" if k == 0 else ",\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2, default=str), "utf-8"))
+        out.write(bytearray(b"\n]\n" if n else b"[]\n"))
+    finally:
+        out.close()
     return n
 
 
@@ -59,15 +66,41 @@ def replace_with_backup(df: DataFrame, path: str, suffix: str = ".bak") -> None:
     fs.rename(fresh, old)
 
 
-def append_unseen(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key the table at ``path`` does not hold yet; each key once.  Returns the table."""
+def append_unseen(df: DataFrame, path: str, key: str, order: str | None = None, parts: int | None = None) -> DataFrame:
+    """Appends the rows whose key the table at ``path`` does not hold yet; each key once, the row that is
+    first in ``order`` (unless given, in the order of all columns' text).  Returns the table.
+
+    With ``parts`` the table gets a partition column ``key_part``, a hash of the key, and a batch reads
+    the keys of the parts it falls into instead of all; a table keeps the number of parts it began
+    with.  Null keys count as one key."""
     spark = df.sparkSession
     fs, p, _ = _files(spark, path)
-    rows = df.dropDuplicates([key])
+    first = F.struct(*([order] if order else []), F.to_json(F.struct(*df.columns)).alias("__whole"))  # never null itself
+    rows = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), first).alias("x")).select("x.*")
+    if parts:
+        rows = rows.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
     if fs.exists(p):
-        rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        written = spark.read.parquet(path)
+        if parts:
+            touched = [r[0] for r in rows.select(PART).distinct().collect()]  # at most ``parts``
+            written = written.where(F.col(PART).isin(touched))
+        written = written.select(F.col(key).alias("__key")).distinct()
+        rows = rows.join(written, rows[key].eqNullSafe(written["__key"]), "left_anti")
+    writer = rows.write.mode("append")
+    (writer.partitionBy(PART) if parts else writer).parquet(path)
+    return spark.read.parquet(path).select(*df.columns)
+
+
+def combined_output(sources: dict[str, DataFrame], root: str, strategy: str) -> DataFrame:
+    """Each source's rows in ``<root>/strategy=<strategy>/source=<name>``, and those of all of them under the name
+    ``all``; returns the whole as a table with both names as columns."""
+    for name, df in sources.items():
+        df.write.mode("overwrite").parquet(f"{root}/strategy={strategy}/source={name}")
+    together = None
+    for df in sources.values():
+        together = df if together is None else together.unionByName(df, allowMissingColumns=True)
+    together.write.mode("overwrite").parquet(f"{root}/strategy={strategy}/source=all")
+    return together.sparkSession.read.parquet(root)
 
 
 def clear(spark: SparkSession, path: str) -> bool:
@@ -97,7 +130,8 @@ def table_readme(df: DataFrame, title: str) -> str:
     return "\n".join([f"# {title}", "", "| column | type | may be null |", "|---|---|---|", *rows]) + "\n"
 
 
-def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """A table bucketed and sorted by ``key``: lookups and joins on it need no shuffle, as an index would save a scan."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)

@@ -16,13 +16,14 @@ def stream_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def process_once(stream: DataFrame, key: str, out: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+def process_once(stream: DataFrame, key: str, out: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] = lambda df: df, parts: int | None = None) -> StreamingQuery:
     """Appends ``process(batch)`` to the table ``out``, each key once over all batches and restarts.
 
-    A batch that is run again after a failure finds its keys written and adds nothing."""
+    A batch that is run again after a failure finds its keys written and adds nothing.  ``parts``: see append_unseen; for a table that grows
+    for long, so that a batch needn't read all its keys."""
 
     def write(batch: DataFrame, _: int) -> None:
-        append_unseen(process(batch), out, key)
+        append_unseen(process(batch), out, key, parts=parts)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
