@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +64,12 @@ def test_mix(spark):
     assert max(r["copy"] for r in rows) <= 1 and not {5001, 5002} & {r["doc_id"] for r in rows}
     assert sum(r["tokens"] for r in rows) == sum(r["mixed_tokens"] for r in shares.values())
     assert sorted(map(str, rows)) == sorted(map(str, Mix(df, targets).documents().collect()))
+    checks = {r["source"]: tuple(r)[1:] for r in mix.checks().collect()}
+    assert checks == {c: (True, True, True) for c in ("big", "small", "none")}
+    mix.rates = [replace(r, max_repeats=0, rate=r.rate + 0.5) if r.source == "big" else r for r in mix.rates]
+    assert {r["source"]: r["within_cap"] for r in mix.checks().collect()} == {"big": False, "small": True, "none": True}
+    larger = {r["source"]: r for r in Mix(df, targets, of_all=3.0).shares().collect()}
+    assert larger["small"]["capped"] and larger["small"]["rate"] == 2 and larger["small"]["actual_share"] < 0.6
     empty = Mix(df.limit(0), targets)
     assert empty.documents().count() == 0 and {r["actual_share"] for r in empty.shares().collect()} == {0.0}
     assert Mix(df, targets.limit(0)).shares().count() == 0

@@ -60,8 +60,9 @@ class Mix:
 
     def __init__(
         self, documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        total: float | None = None, seed: int = 11, tokenizer_path: str = TOKENIZER,
+        total: float | None = None, seed: int = 11, tokenizer_path: str = TOKENIZER, of_all: float | None = None,
     ) -> None:
+        """``total``: the mix's size in tokens; ``of_all``: the same as a multiple of all tokens of the sources."""
         rows = targets.select("source", "target_share", "max_repeats").distinct().limit(MOST_TARGETS + 1).collect()
         if len(rows) > MOST_TARGETS:
             raise ValueError(f"more than {MOST_TARGETS} targets")
@@ -71,6 +72,8 @@ class Mix:
         part = part.join(F.broadcast(names), "source", "left_semi")  # at most MOST_TARGETS names
         self.counted = cut_lineage(count_tokens(part, ["doc_id", "source"], "text", tokenizer_path))
         sums = {r["source"]: r["n"] for r in self.counted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+        if of_all is not None:
+            total = of_all * sum(sums.values())
         self.rates = repetition_rates([tuple(r) for r in rows], sums, total)
         self.seed = seed
 
@@ -88,7 +91,8 @@ class Mix:
         )
 
     def shares(self) -> DataFrame:
-        """``(source, target_share, max_repeats, source_tokens, rate, mixed_tokens, mixed_rows, actual_share)`` of every target."""
+        """``(source, target_share, max_repeats, source_tokens, rate, capped, mixed_tokens, mixed_rows, actual_share)`` of
+        every target; ``capped``: the source is used as often as it may be."""
         spark = self.counted.sparkSession
         wanted = spark.createDataFrame(
             [(r.source, r.target_share, r.max_repeats, r.tokens, r.rate) for r in self.rates],
@@ -100,6 +104,23 @@ class Mix:
             wanted.join(got, "source", "left")
             .crossJoin(F.broadcast(whole))  # one row
             .na.fill(0, ["mixed_tokens", "mixed_rows"])
+            .withColumn("capped", F.col("rate") >= F.col("max_repeats"))
             .withColumn("actual_share", F.coalesce(F.try_divide("mixed_tokens", "whole"), F.lit(0.0)))
             .drop("whole")
         )
+
+    def checks(self) -> DataFrame:
+        """``(source, within_cap, even, reached)`` of every target, from the mix's rows: no document is used more
+        often than ``max_repeats``; each as often as the rate's whole part or once more; the source's tokens are
+        those of its rate, as near as drawing each document's last copy by itself lets them (five deviations)."""
+        spark = self.counted.sparkSession
+        wanted = spark.createDataFrame([(r.source, r.max_repeats, r.rate) for r in self.rates], "source string, max_repeats int, rate double")
+        used = self.documents().groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+        each = self.counted.join(F.broadcast(wanted), "source").join(used, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+        fraction = F.col("rate") - F.floor("rate")
+        found = each.groupBy("source").agg(
+            F.bool_and(F.col("copies") <= F.col("max_repeats")).alias("within_cap"),
+            F.bool_and((F.col("copies") == F.floor("rate")) | (F.col("copies") == F.floor("rate") + 1)).alias("even"),
+            (F.abs(F.sum(F.col("tokens") * (F.col("copies") - F.col("rate")))) <= 1e-6 * (1 + F.sum("tokens")) + 5 * F.sqrt(F.sum(F.pow("tokens", F.lit(2)) * fraction * (1 - fraction)))).alias("reached"),
+        )
+        return wanted.select("source").join(found, "source", "left").na.fill(True)

@@ -103,8 +103,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_texts(load(spark, folder, "documents"), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, folder: str) -> mixing.Mix:
-    return mixing.Mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+def _mix(spark: SparkSession, folder: str, of_all: float | None = None) -> mixing.Mix:
+    return mixing.Mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"), of_all=of_all)
 
 
 @query
@@ -117,6 +117,19 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares()
 
 
+@query
+def p9_larger_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix twice as large as all its sources: scarce ones stop at their caps and fall short of their targets."""
+    return _mix(spark, folder, 2.0).shares()
+
+
+@query
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every source in both mixes, read off their rows."""
+    one = lambda size, of_all: _mix(spark, folder, of_all).checks().select(F.lit(size).alias("size"), "*")
+    return one("all shares met", None).unionByName(one("twice all", 2.0))
+
+
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(load(spark, folder, "documents"), load(spark, folder, "page_labels"))

@@ -52,3 +52,6 @@ pairs AS (SELECT t, h FROM both_ WHERE o * 5 >= (tn + hn - o) * 4)"""
 SQL["p7_found"] = f"WITH {OVERLAPS} SELECT least(t, h) AS row_a, greatest(t, h) AS row_b FROM pairs"
 SQL["p7_report"] = f"""WITH {OVERLAPS} SELECT b.source AS held_source, b.split AS held_split, a.source AS train_source, count(*) AS pairs,
 count(DISTINCT h) AS held_rows, count(DISTINCT t) AS train_rows FROM pairs JOIN n a ON a.row_id = t JOIN n b ON b.row_id = h GROUP BY ALL"""
+
+#: What must hold of every source: no SQL counts tokens or draws copies, but it says of whom the checks are due.
+SQL["p9_checks"] = "SELECT size, source, true AS within_cap, true AS even, true AS reached FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL), (SELECT unnest(['all shares met', 'twice all']) AS size)"
