@@ -18,17 +18,26 @@ def first_by_name(options: DataFrame, k: int) -> DataFrame:
     return options.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
+#: A selector that doesn't look at the question says so: then it is asked once for each node.
+first_by_name.per_node = True
+
+
 def chosen_relations(frontier: DataFrame, kg: DataFrame, k: int, selector: Selector = first_by_name) -> DataFrame:
     """``(qid, entity, r)``: the relations a round follows from ``frontier(qid, entity)``: all of a node that has
     at most ``k``, else those the selector takes.
 
-    Relations are counted per node, not per question, and only nodes of the frontier are looked at."""
+    Relations are counted per node, not per question, and only nodes of the frontier are looked at.  A
+    selector with ``per_node`` set gets each node once, with a null question; others get each node's
+    relations for each question that stands there."""
     asked = frontier.select("qid", "entity").distinct()
-    relations = kg.select(F.col("h").alias("entity"), "r").distinct()
-    wide = relations.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    options = asked.join(wide, "entity").join(relations, "entity")
-    some = options.where(F.col("m") <= k).select("qid", "entity", "r")
-    return some.unionByName(selector(options.where(F.col("m") > k).select("qid", "entity", "r"), k).select("qid", "entity", "r"))
+    relations = kg.select(F.col("h").alias("entity"), "r").distinct().join(asked.select("entity").distinct(), "entity", "left_semi")
+    counted = relations.join(relations.groupBy("entity").agg(F.count(F.lit(1)).alias("m")), "entity")
+    few, many = counted.where(F.col("m") <= k).select("entity", "r"), counted.where(F.col("m") > k).select("entity", "r")
+    if getattr(selector, "per_node", False):
+        nobody = many.select(F.lit(None).cast(dict(asked.dtypes)["qid"]).alias("qid"), "entity", "r")
+        return asked.join(few.unionByName(selector(nobody, k).select("entity", "r")), "entity").select("qid", "entity", "r")
+    ask = lambda some: asked.join(some, "entity").select("qid", "entity", "r")
+    return ask(few).unionByName(selector(ask(many), k).select("qid", "entity", "r"))
 
 
 def round_targets(chosen: DataFrame, kg: DataFrame) -> DataFrame:
