@@ -159,21 +159,21 @@ pert AS (SELECT qid, path AS origin, i, n, array_to_string(list_append(list_tran
   FROM tails GROUP BY qid, path, steps, i, n, h, other)"""
 
 
-def perturbed(spark: SparkSession, folder: str) -> DataFrame:
+def perturbed(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     from tripleloom.functions.sampling import seeded
 
-    kg = clean(spark, folder)
+    kg = cut_lineage(clean(spark, folder))  # read for the relations and for the tails
     order = Window.partitionBy("h").orderBy(seeded("rel", F.col("r")), "r")
     ranked = kg.select("h", "r").distinct().withColumn("rank", F.row_number().over(order))
-    paths = truth(spark, folder).select("qid", F.col("t").alias("answer"), "path").distinct()
+    paths = found.select("qid", F.col("t").alias("answer"), "path").distinct()
     return training.perturbed(paths, "qid", "path", "answer", kg, ranked, "neg", 2)
 
 
 @query("n01_perturbed_paths", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED} SELECT DISTINCT qid, path FROM pert")
 def perturbed_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return perturbed(spark, folder).select("qid", P.steps_text(F.col("path")).alias("path")).distinct()
+    return perturbed(spark, folder, truth(spark, folder)).select("qid", P.steps_text(F.col("path")).alias("path")).distinct()
 
 
 NEGATIVES = """cand AS (SELECT qid, origin, path, 0 AS strategy, md5('hop|' || origin || '|' || i) AS hop, n FROM pert
@@ -182,9 +182,10 @@ kept AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY qid, origin
 negs AS (SELECT qid, path, min(strategy) AS strategy FROM kept GROUP BY qid, path)"""
 
 
-def negatives(spark: SparkSession, folder: str) -> DataFrame:
-    positive = truth(spark, folder).select("qid", "path").distinct()  # a start or an end may stand in a row once more
-    return training.combined_negatives(perturbed(spark, folder), training.truncated(positive, "qid", "path", 5), "qid", 5)
+def negatives(spark: SparkSession, folder: str, found: DataFrame | None = None) -> DataFrame:
+    found = cut_lineage(truth(spark, folder)) if found is None else found
+    positive = found.select("qid", "path").distinct()  # a start or an end may stand in a row once more
+    return training.combined_negatives(perturbed(spark, folder, found), training.truncated(positive, "qid", "path", 5), "qid", 5)
 
 
 @query("n03_combined_negatives", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED}, {NEGATIVES} SELECT qid, path, strategy FROM negs")
@@ -197,8 +198,9 @@ SELECT q.row_id AS qid, coalesce((SELECT list(DISTINCT path) FROM truth WHERE ho
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    positive = truth(spark, folder).select("qid", P.steps_text(F.col("path")).alias("path"))
-    return training.path_items(questions(spark, folder), "qid", positive, negatives(spark, folder))
+    found = cut_lineage(truth(spark, folder))
+    positive = found.select("qid", P.steps_text(F.col("path")).alias("path"))
+    return training.path_items(questions(spark, folder), "qid", positive, negatives(spark, folder, found))
 
 
 @query("n04_path_items", f"WITH RECURSIVE {W}, {NODES}, {TRUTH}, {KG}, {PERTURBED}, {NEGATIVES}, {ITEMS} SELECT qid, positive_paths, negative_paths FROM items")
