@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.session import cut_lineage
@@ -78,7 +78,7 @@ def run_members(df: DataFrame, key: Column, row: str) -> DataFrame:
 
     ``key`` is a string and must not be null; ``row`` is a whole number, unique and not null.
     Full keys are compared, at the partitions' borders too, where executors do it: the driver
-    only gets three small fields for each partition.
+    only gets four small fields for each partition.
     """
     spark = df.sparkSession
     keyed = df.select(key.alias("key"), F.col(row).cast("long").alias("row")).withColumn("h", F.xxhash64("key"))
@@ -86,21 +86,15 @@ def run_members(df: DataFrame, key: Column, row: str) -> DataFrame:
     scanned = cut_lineage(
         ordered.mapInArrow(_scan, "part int, row long, first long, head boolean, first_key string, last_key string")
     )
-    ends = scanned.where(F.col("row").isNull())  # one record per partition
-    parts = ends.select("part", "first", "head").orderBy("part").collect()
-    fixed = []
-    if len(parts) > 1:
-        pairs = spark.createDataFrame([(b["part"], a["part"]) for a, b in zip(parts, parts[1:])], "part int, before int")
-        left = ends.select(F.col("part").alias("before"), "last_key")
-        border = ends.select("part", "first_key").join(F.broadcast(pairs), "part").join(left, "before")  # a row for each pair of partitions
-        goes_on = {r["part"] for r in border.where("first_key = last_key").select("part").collect()}
-        open_start = None
-        for e in parts:
-            own = e["first"]
-            if e["part"] in goes_on:
-                fixed.append((e["part"], open_start))
-                own = open_start if e["head"] else own
-            open_start = own
+    ends = scanned.where(F.col("row").isNull())  # one record per partition, so one task is enough to hold each against the last
+    goes_on = F.lag("last_key").over(Window.orderBy("part")) == F.col("first_key")
+    fixed, open_start = [], None
+    for e in ends.select("part", "first", "head", goes_on.alias("goes_on")).orderBy("part").collect():
+        own = e["first"]
+        if e["goes_on"]:
+            fixed.append((e["part"], open_start))
+            own = open_start if e["head"] else own
+        open_start = own
     rows = scanned.where(F.col("row").isNotNull())
     if not fixed:
         return rows.select("first", "row")
