@@ -102,9 +102,9 @@ def entity_loads(rows: DataFrame, entities: str = "q_entity", graph: str = "grap
         ).alias("p")
     ).select("p.field", "p.entity")
     counts = salted_aggregate(pairs, ["field", "entity"], [count_rows()])
-    totals = narrow.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.greatest(F.size("heads"), F.lit(0))), F.lit(0)).alias("triples")
-    )
+    # every valid triple has one head, so the triples follow from the counts, whose exchange is used again
+    triples = counts.agg(F.coalesce(F.sum(F.when(F.col("field") == "graph", F.col("n"))), F.lit(0)).alias("triples"))
+    totals = triples.crossJoin(rows.agg(F.count(F.lit(1)).alias("rows")))  # one row each
     return counts.crossJoin(F.broadcast(totals)).select(  # one row of totals
         "field", "entity", "n", F.when(F.col("field") == "graph", F.col("triples")).otherwise(F.col("rows")).alias("total")
     )

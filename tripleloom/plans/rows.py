@@ -210,10 +210,12 @@ def path_items(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- decision points and training rows, from the path items: positive paths of all lengths lead on, negative ones astray
 
-STEPX = r"'^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)'"
+#: A step's text taken apart by the places of its signs.
+STEP_ENTITY = "substr(s, 1, strpos(s, '-[') - 1)"
+STEP_RELATION = "substr(s, strpos(s, '-[') + 2, strpos(s, ']->') - strpos(s, '-[') - 2)"
 POINTS = f"""wk AS (SELECT DISTINCT qid, path, true AS good FROM truth WHERE hops > 0 UNION ALL SELECT qid, path, false FROM negs),
 st AS (SELECT qid, good, array_to_string(w[1:i - 1], ' ; ') AS history, w[i] AS s FROM (SELECT qid, good, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT qid, good, string_split(path, ' ; ') AS w FROM wk))),
-ch AS (SELECT qid, good, history, regexp_extract(s, {STEPX}, 1) AS entity, regexp_extract(s, {STEPX}, 2) AS r FROM st),
+ch AS (SELECT qid, good, history, {STEP_ENTITY} AS entity, {STEP_RELATION} AS r FROM st),
 points AS (SELECT qid, history, entity, list_sort(list(DISTINCT r) FILTER (WHERE good)) AS pos, coalesce(list_sort(list(DISTINCT r) FILTER (WHERE NOT good)), []::VARCHAR[]) AS neg FROM ch GROUP BY qid, history, entity HAVING bool_or(good)),
 pool AS (SELECT *, list_sort(list_distinct(list_concat(pos, neg))) AS pool FROM points)"""
 ITEM_PATHS = f"{W}, {NODES}, {TRUTH}, {KG}, {PERTURBED}, {NEGATIVES}, {POINTS}"

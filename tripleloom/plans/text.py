@@ -155,9 +155,10 @@ def chat_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("t19_parsed_steps", r"""WITH x AS (SELECT row_id, unnest(string_split_regex(predicted_paths, '[|\t\r\n]+')) AS x FROM predictions WHERE predicted_paths IS NOT NULL AND contains(predicted_paths, ']->')),
-parts AS (SELECT row_id, unnest(string_split(x, ' ; ')) AS p FROM x)
-SELECT row_id, regexp_extract(p, '^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)', 1) AS h, regexp_extract(p, '^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)', 2) AS r, regexp_extract(p, '^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)', 3) AS t
-FROM parts WHERE regexp_matches(p, '^(.+?)\s*-\[\s*(.+?)\s*\]->\s*(.+)')""")
+parts AS (SELECT row_id, unnest(string_split(x, ' ; ')) AS p FROM x),
+opened AS (SELECT row_id, substr(p, 1, strpos(p, '-[') - 1) AS h, substr(p, strpos(p, '-[') + 2) AS rest FROM parts WHERE strpos(p, '-[') > 1),
+closed AS (SELECT row_id, h, substr(rest, 1, strpos(rest, ']->') - 1) AS r, substr(rest, strpos(rest, ']->') + 3) AS t FROM opened WHERE strpos(rest, ']->') > 1)
+SELECT row_id, rtrim(h) AS h, trim(r) AS r, ltrim(t) AS t FROM closed WHERE trim(r) <> '' AND t <> ''""")
 def parsed_steps(spark: SparkSession, folder: str) -> DataFrame:
     texts = load(spark, folder, "predictions").where(F.col("predicted_paths").contains("]->")).select("row_id", F.explode(F.split("predicted_paths", r"[|\t\r\n]+")).alias("x"))
     return texts.select("row_id", F.inline(P.parse_steps(F.col("x"))))

@@ -49,6 +49,22 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> str:
+    """Puts this package into the shared folder and on the path of every worker; returns where it stands."""
+    import shutil
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as made:  # on the driver only, until it is copied
+        archive = shutil.make_archive(os.path.join(made, "tripleloom"), "zip", home.parent, home.name)
+        target = scratch_folder(spark, "package") + "/tripleloom.zip"
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{archive}"), path)
+    spark.sparkContext.addPyFile(target)
+    return target
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder; a lost executor costs nothing already done."""
     spark = df.sparkSession
