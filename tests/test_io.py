@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from tripleloom.session import shared_folder, ship
 from tripleloom.sources import readers as R
 from tripleloom.sources import writers as K
 from tripleloom.streaming import resume
@@ -75,6 +76,14 @@ def test_sinks(spark, tmp_path):
     assert K.clear(spark, at("t")) and not K.clear(spark, at("t"))
 
 
+def test_package_is_shipped_whole(spark):
+    target = ship(spark)
+    fs, path, _ = K._files(spark, target)
+    assert fs.exists(path) and target.startswith(shared_folder(spark))
+    names = spark.read.format("binaryFile").load(target).select("content").first()[0]
+    assert b"tripleloom/operators/walks.py" in bytes(names)
+
+
 def test_stream_processes_each_id_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("a", 1), ("b", 2)], SCHEMA).write.parquet(source)

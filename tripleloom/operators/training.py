@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.binding import let
-from tripleloom.functions.paths import history_key, parse_steps, steps_text
+from tripleloom.functions.paths import PATH_TYPE, history_key, parse_steps, steps_text
 from tripleloom.functions.sampling import seeded, shuffled
+from tripleloom.session import cut_lineage
 
 LIST = "array<string>"
 
@@ -33,16 +34,17 @@ def perturbed(paths: DataFrame, key: str, path: str, answer: str, kg: DataFrame,
     md5 that is neither the answer nor the old tail; the path ends with it.  ``n`` counts the
     relations taken at the hop.
     """
-    hops = paths.select(key, answer, F.col(path).alias("p"), F.posexplode(path).alias("i", "s"))
-    options = hops.join(ranked.where(F.col("rank") <= 2 * top_k).select(F.col("h").alias("rh"), F.col("r").alias("rr"), "rank"), F.col("s.h") == F.col("rh")).where(F.col("rr") != F.col("s.r"))
-    w = Window.partitionBy(key, "p", "i").orderBy("rank")
-    options = options.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top_k)
-    tails = options.join(kg.select(F.col("h").alias("kh"), F.col("r").alias("kr"), F.col("t").alias("kt")), (F.col("rh") == F.col("kh")) & (F.col("rr") == F.col("kr"))).where(
-        (F.col("kt") != F.col(answer)) & (F.col("kt") != F.col("s.t"))
-    )
-    chosen = tails.groupBy(key, "p", "i", "rh", "rr", "n").agg(F.min_by("kt", seeded(seed, F.col("rh"), F.col("rr"), F.col("kt"))).alias("t"))
-    prefix = F.when(F.col("i") > 0, F.slice("p", F.lit(1), F.greatest("i", F.lit(1)))).otherwise(F.array().cast("array<struct<h:string,r:string,t:string>>"))
-    return chosen.select(key, F.col("p").alias("origin"), F.concat(prefix, F.array(F.struct(F.col("rh").alias("h"), F.col("rr").alias("r"), "t"))).alias("path"), "n")
+    numbered = cut_lineage(paths.select(key, answer, F.col(path).alias("origin")).withColumn("pid", F.monotonically_increasing_id()))
+    # only the number of a path goes through the joins; the path itself is joined again at the end
+    hops = numbered.select("pid", F.col(answer).alias("answer"), F.posexplode("origin").alias("i", "s")).select("pid", "answer", "i", "s.h", "s.r", F.col("s.t").alias("old"))
+    near = ranked.where(F.col("rank") <= 2 * top_k).select("h", F.col("r").alias("other"), "rank")
+    w = Window.partitionBy("pid", "i").orderBy("rank")
+    options = hops.join(near, "h").where("other <> r").withColumn("n", F.row_number().over(w)).where(F.col("n") <= top_k)
+    tails = options.join(kg.select("h", F.col("r").alias("other"), F.col("t").alias("new")), ["h", "other"]).where("new <> answer AND new <> old")
+    chosen = tails.groupBy("pid", "i", "h", "other", "n").agg(F.min_by("new", seeded(seed, F.col("h"), F.col("other"), F.col("new"))).alias("t"))
+    prefix = F.when(F.col("i") > 0, F.slice("origin", F.lit(1), F.greatest("i", F.lit(1)))).otherwise(F.array().cast(PATH_TYPE))
+    last = F.array(F.struct("h", F.col("other").alias("r"), "t"))
+    return chosen.join(numbered, "pid").select(key, "origin", F.concat(prefix, last).alias("path"), "n")
 
 
 def combined_negatives(perturbed_paths: DataFrame, truncated_paths: DataFrame, key: str, most: int, seed: str = "hop") -> DataFrame:

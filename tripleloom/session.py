@@ -78,7 +78,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     For work on rows that costs far more than moving them, where a small table's few files would
     leave most cores idle.  A table with enough splits is not touched; nor is the result of a
-    shuffle, whose partitions Spark sizes itself."""
+    shuffle, whose partitions Spark sizes itself, nor anything of a session that doesn't show its plan."""
+    if getattr(df, "_jdf", None) is None:
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     if plan.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
