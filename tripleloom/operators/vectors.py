@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 from tripleloom.functions.vectors import cosine
 
 
+#: Each block of queries goes through the driver and over all keys once; more queries than this is an error.
+MOST_QUERIES = 500_000
+
+
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
     """The stated queries in blocks of about ``block``: what is sent out stays bounded."""
     q = queries.where(F.col("v").isNotNull()).select("query", "v")
-    blocks = max(1, -(-q.count() // block))
+    n = q.count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    blocks = max(1, -(-n // block))
     for i in range(blocks):
         rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)).collect()  # each block is run
         yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
