@@ -61,12 +61,15 @@ def distinct_triples(*sources: DataFrame) -> DataFrame:
 def collapse_mediators(kg: DataFrame) -> DataFrame:
     """``(h, r, t, created)``: for h -> mediator -> t an edge ``r1-r2`` besides what is there.
 
-    Both ends must be named.  ``created`` tells the edges that were not there before.  The join
-    runs on mediators only, and those link few nodes each."""
+    ``kg`` holds each triple once (distinct_triples).  Both ends must be named.  ``created`` tells the
+    edges that were not there before.  The join runs on mediators only, and those link few nodes
+    each; a made edge can only be there already under a relation with a hyphen, so no more of the
+    graph than that is compared."""
     into = kg.where(is_mediator(F.col("t")) & ~is_mediator(F.col("h"))).select(F.col("h"), F.col("r").alias("r1"), F.col("t").alias("m"))
     out_of = kg.where(is_mediator(F.col("h")) & ~is_mediator(F.col("t"))).select(F.col("h").alias("m"), F.col("r").alias("r2"), F.col("t"))
-    made = into.join(out_of, "m").select("h", F.concat_ws("-", "r1", "r2").alias("r"), "t", F.lit(True).alias("created"))
-    return kg.select("h", "r", "t", F.lit(False).alias("created")).unionByName(made).groupBy("h", "r", "t").agg(F.min("created").alias("created"))
+    made = into.join(out_of, "m").select("h", F.concat_ws("-", "r1", "r2").alias("r"), "t").distinct()
+    fresh = made.join(kg.where(F.contains("r", F.lit("-"))).select("h", "r", "t"), ["h", "r", "t"], "left_anti")
+    return kg.select("h", "r", "t", F.lit(False).alias("created")).unionByName(fresh.withColumn("created", F.lit(True)))
 
 
 def named_edges(edges: DataFrame) -> DataFrame:
@@ -78,15 +81,19 @@ def without_loops(edges: DataFrame) -> DataFrame:
     return edges.where("h <> t")
 
 
+def clean_graph(kg: DataFrame) -> DataFrame:
+    """``(h, r, t)``: distinct triples with mediators collapsed and removed, without self loops."""
+    return without_loops(named_edges(collapse_mediators(kg))).select("h", "r", "t")
+
+
 def knowledge_graph(*sources: DataFrame, collapse_per_source: bool = False) -> DataFrame:
-    """``(h, r, t)``: the global graph: distinct triples, mediators collapsed and removed, no self loops.
+    """``(h, r, t)``: the global graph: clean_graph of the distinct triples of all sources.
 
     ``collapse_per_source`` collapses each source by itself before the union, as a load of one
     data set after another does."""
-    clean = lambda kg: without_loops(named_edges(collapse_mediators(kg))).select("h", "r", "t")
     if collapse_per_source and len(sources) > 1:
-        return distinct_triples(*(clean(distinct_triples(s)) for s in sources))
-    return clean(distinct_triples(*sources))
+        return distinct_triples(*(clean_graph(distinct_triples(s)) for s in sources))
+    return clean_graph(distinct_triples(*sources))
 
 
 def entities(kg: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tripleloom.operators import graph as G
 from tripleloom.operators import shortest, walks
 from tripleloom.plans.registry import query
 from tripleloom.plans.sqlparts import KG, STEP, last_wins, med, members, strip, triples
+from tripleloom.session import cut_lineage
 from tripleloom.tables import load
 
 
@@ -22,7 +23,7 @@ def knowledge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    return G.knowledge_graph(triples_of(spark, folder), triples_of(spark, folder, "rog_cwq"))
+    return G.clean_graph(cut_lineage(knowledge(spark, folder)))  # the triples are read for their mediators and for the rest
 
 
 def questions(spark: SparkSession, folder: str, table: str = "rog_webqsp") -> DataFrame:
