@@ -66,11 +66,16 @@ def ship(spark: SparkSession) -> str:
     return target
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once into a table in the shared folder; a lost executor costs nothing already done.
-
-    A compressed table of columns rather than a checkpoint: it takes a fraction of the disk, and who reads
-    it reads only the columns it needs.  The tables go when the program ends, or with clear_scratch."""
+def cut_lineage(df: DataFrame, as_rows: bool = False) -> DataFrame:
+    """``df`` computed once into the shared folder; a lost executor costs nothing already done.
+
+    A compressed table of columns: it takes a fraction of a checkpoint's disk, and who reads it reads
+    only the columns it needs.  The tables go when the program ends, or with clear_scratch.
+    ``as_rows``: a checkpoint, which is cheaper to write where texts hardly repeat and all is read."""
+    if as_rows:
+        if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+        return df.checkpoint(eager=True)
     path = scratch_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     if not _written:
