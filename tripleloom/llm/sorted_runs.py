@@ -167,6 +167,6 @@ def run_counts(pairs: DataFrame, keys: Sequence[str], record: str, amount: str)
     A key and record stand in one partition, so parts of a run are added up; they are two at
     most for each partition.
     """
-    scanned = cut_lineage(scanned_runs(pairs, keys, record, amount))
+    scanned = cut_lineage(scanned_runs(pairs, keys, record, amount), as_rows=True)
     parts = scanned.where("border").groupBy(*keys).agg(F.sum("amount").alias("amount"), F.sum("records").alias("records"))
     return scanned.where("NOT border").drop("border").unionByName(parts)
