@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tripleloom.llm import split_overlap
 from tripleloom.llm.leakage import ItemIndex, leaked_items, passage_words
 from tripleloom.llm.split_overlap import cross_split_pairs
 
@@ -108,3 +109,17 @@ def test_awkward_questions(spark):
 def test_one_question_in_a_third_of_all_rows(spark):
     rows = [(i, "train" if i % 10 else "test", "the same question again") if i % 3 == 0 else (i, "train", f"other{i} words{i}") for i in range(600)]
     assert pairs(spark, rows) == brute_pairs(rows)
+
+
+def test_pairs_that_only_share_words_are_dropped_in_the_join(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(15)) for _ in range(600)]
+    texts += [t + " more" for t in texts[:50:3]]
+    rows = [(i, "train" if i % 3 else "test", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_id long, split string, question string")
+    sets = split_overlap.word_sets(df, "row_id", "question", F.col("split") == "train", F.col("split") == "test")
+    similar = {tuple(r) for r in split_overlap.similar_sets(sets, Fraction(4, 5)).collect()}
+    near = [tuple(map(bytes, r)) for r in split_overlap._near(split_overlap._ranked(sets), Fraction(4, 5)).collect()]
+    assert {tuple(map(bytes, r)) for r in similar} <= set(near)
+    assert len(near) <= len(similar) + 50  # thousands share a word of their prefixes
+    assert pairs(spark, rows) == brute_pairs(rows)

@@ -2,8 +2,9 @@
 
 An exact prefix-filter join of word sets.  Words are ordered from rare to frequent; two sets
 whose Jaccard similarity reaches the threshold must share a word among the first few of each.
-Length and position filters drop most pairs before the exact check.  Equal sets are joined
-once, however many rows hold them.
+Length and position filters drop many pairs before the exact check, and signatures of 64 bits nearly
+all that are left: each word not shared turns at most one bit.  Equal sets are joined once, however
+many rows hold them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ def word_sets(rows: DataFrame, row: str, question: str, train: Column, held_out:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``(sid, train, held_out, n, ws)``: the distinct sets, their words from rare to frequent."""
+    """``(sid, train, held_out, n, ws, sig)``: the distinct sets, their words from rare to frequent, and their
+    signature: the exclusive or of one bit a word."""
     sets = rows.groupBy("sid").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out"), F.any_value("key").alias("key"))
     apart = sets.select("sid", "train", "held_out", F.explode(F.split("key", " ")).alias("w")).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
     counts = apart.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
@@ -37,34 +39,44 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return (
         apart.join(F.broadcast(counts), "b")
         .groupBy("sid", "train", "held_out")
-        .agg(F.sort_array(F.collect_list(F.struct("c", "b", "w"))).alias("o"))
-        .select("sid", "train", "held_out", F.size("o").alias("n"), F.col("o.w").alias("ws"))
+        .agg(F.sort_array(F.collect_list(F.struct("c", "b", "w"))).alias("o"), F.bit_xor(F.expr("shiftleft(1L, b % 64)")).alias("sig"))
+        .select("sid", "train", "held_out", F.size("o").alias("n"), F.col("o.w").alias("ws"), "sig")
     )
 
 
-def similar_sets(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """``(t_sid, h_sid)``: pairs of word sets, one of each side, that reach the threshold.
+def _near(ranked: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(t_sid, h_sid)``: the pairs that the filters leave, all similar ones among them.
 
-    The index holds digests and places only; the words come back for the pairs that are left,
-    so a text of any length adds as much as it is long."""
+    The signature is compared in the join, before a pair is moved: pairs that only share a word
+    grow with the square of the rows, those that pass hardly more than the similar ones."""
     num, den = threshold.numerator, threshold.denominator
-    ranked = cut_lineage(_ranked(rows))  # read four times below
     prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1  # at least one word is looked at
 
     def index(name: str) -> DataFrame:
         s = name[0]
-        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("n").alias(f"{s}_n"), F.posexplode(F.slice("ws", 1, prefix)).alias(f"{s}_i", "w"))
-
-    def content(name: str) -> DataFrame:
-        s = name[0]
-        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("ws").alias(f"{s}_ws"))
+        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("n").alias(f"{s}_n"), F.col("sig").alias(f"{s}_sig"), F.posexplode(F.slice("ws", 1, prefix)).alias(f"{s}_i", "w"))
 
     t_n, h_n, t_i, h_i = (F.col(c) for c in ("t_n", "h_n", "t_i", "h_i"))
     lengths = (h_n * den >= t_n * num) & (t_n * den >= h_n * num)
     most = F.least(t_i, h_i) + F.least(t_n - t_i, h_n - h_i)
     position = most * (num + den) >= (t_n + h_n) * num
-    near = index("train").join(index("held_out"), "w").where(lengths & position).select("t_sid", "h_sid").distinct()
-    both = near.join(content("train"), "t_sid").join(content("held_out"), "h_sid")
+    apart = F.bit_count(F.col("t_sig").bitwiseXOR(F.col("h_sig"))) * (num + den) <= (t_n + h_n) * (den - num)
+    return index("train").join(index("held_out"), "w").where(lengths & apart & position).select("t_sid", "h_sid").distinct()
+
+
+def similar_sets(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(t_sid, h_sid)``: pairs of word sets, one of each side, that reach the threshold.
+
+    The index holds digests, signatures and places only; the words come back for the pairs that are
+    left, so a text of any length adds as much as it is long."""
+    num, den = threshold.numerator, threshold.denominator
+    ranked = cut_lineage(_ranked(rows))  # read four times below
+
+    def content(name: str) -> DataFrame:
+        s = name[0]
+        return ranked.where(F.col(name)).select(F.col("sid").alias(f"{s}_sid"), F.col("ws").alias(f"{s}_ws"))
+
+    both = _near(ranked, threshold).join(content("train"), "t_sid").join(content("held_out"), "h_sid")
     overlap = F.size(F.array_intersect("t_ws", "h_ws"))
     return both.where(overlap * (num + den) >= (F.size("t_ws") + F.size("h_ws")) * num).select("t_sid", "h_sid")
 
