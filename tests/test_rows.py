@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,24 @@ def test_graph_tables(spark):
     assert sorted((r["lid"], r["score"]) for r in kept.collect()) == [("a", "3"), ("c", "1")]
     assert [r["code"] for r in names.collect()] == ["is"]
     assert [(r["start_id"], r["end_id"], r["type"]) for r in typed.collect()] == [("a", "c", "is")]
+
+
+def test_states_at_the_root_do_not_meet_all_that_may_begin_there(spark, tmp_path):
+    from tripleloom.plans.rows import constraint_gate
+
+    n = 30_000  # as rows of states and tokens, 900 million
+    graph = F.array(*(F.struct(F.concat(F.lit("h"), x).alias("h"), F.concat(F.lit("r"), x).alias("r"), F.lit("t").alias("t")) for x in ("id", F.lit("0"))))
+    spark.range(n).select(F.col("id").alias("row_id"), graph.alias("graph")).write.parquet(f"{tmp_path}/rog_cwq.parquet")
+    began = time.time()
+    got = constraint_gate(spark, str(tmp_path)).groupBy("seq", "constrained", "n").count().collect()
+    assert sorted(map(tuple, got)) == [(0, True, n, n), (1, True, 1, n)] and time.time() - began < 60
+
+
+def test_gate_sizes_count_the_tokens_of_the_gate(spark):
+    t = trie.build(spark.createDataFrame([(["<PATH>", "1", "2"],), (["<PATH>", "1", "3"],)], "s array<string>"), "s")
+    rows = [(1, ["<PATH>"]), (2, ["<PATH>", "1"]), (3, ["<PATH>", "9"]), (4, ["x"]), (5, None), (6, []), (7, ["a", "<PATH>", "1"])]
+    states = spark.createDataFrame(rows, "k int, i array<string>")
+    want = trie.gate(states, "k", "i", t).groupBy("k", "constrained").agg(F.count("next").alias("n"))
+    assert sorted(map(tuple, trie.gate_sizes(states, "k", "i", t).collect())) == sorted(map(tuple, want.collect()))
+    twice = trie.gate_sizes(states.unionByName(states), "k", "i", t)
+    assert {r["k"]: r["n"] for r in twice.collect()} == {1: 2, 2: 4, 3: 0, 4: 0, 5: 0, 6: 0, 7: 4}

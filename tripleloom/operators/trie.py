@@ -57,6 +57,16 @@ def gate(states: DataFrame, key: str, ids: str, trie: DataFrame) -> DataFrame:
     return s.join(trie, "prefix", "left").select(key, F.col("prefix").isNotNull().alias("constrained"), "next")
 
 
+def gate_sizes(states: DataFrame, key: str, ids: str, trie: DataFrame) -> DataFrame:
+    """``(<key>, constrained, n)``: how many tokens gate gives each state; 0 where all may come.
+
+    The tokens are counted once a prefix, so that a third of all states at the root don't meet all that may begin there."""
+    s = states.select(key, constrained_prefix(F.col(ids)).alias("prefix")).groupBy(key, "prefix").agg(F.count(F.lit(1)).alias("c"))
+    sizes = trie.groupBy("prefix").agg(F.count("next").alias("size"))
+    n = F.coalesce("size", F.lit(0)) * F.col("c")
+    return s.join(sizes, "prefix", "left").select(key, F.col("prefix").isNotNull().alias("constrained"), n.alias("n"))
+
+
 def free(asked: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``(prefix, next)``: the stand-in that allows the same given tokens after every asked prefix."""
     return asked.select("prefix").distinct().select("prefix", F.explode(F.array(*map(F.lit, sorted(set(vocabulary))))).alias("next"))
