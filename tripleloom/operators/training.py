@@ -110,6 +110,24 @@ def limited_pool(points: DataFrame, threshold: int, version: int, distractors: i
     return points.withColumn("pool", F.when(F.size("pool") > threshold, cut).otherwise(F.col("pool")))
 
 
+def filled_pool(points: DataFrame, kg: DataFrame, threshold: int, seed: str = "cut", parts: int = 8) -> DataFrame:
+    """Adds ``pool``: what version 2 of limited_pool makes of ``kg_allhop`` pools.
+
+    A point needs no more of its node than the first ``threshold`` relations in seeded order, and these are the same
+    for all points with its history; so a hub's relations are put in order once a history, and its histories are
+    dealt out to ``parts`` tasks.  ``points`` is read twice."""
+    p = points.withColumn("known", F.array_union("pos", "neg"))
+    room = F.lit(threshold) - F.size("known")
+    part = F.pmod(F.xxhash64("history"), F.lit(parts))
+    asked = p.where(room > 0).groupBy("entity", part.alias("part")).agg(F.collect_set("history").alias("histories"))
+    of_node = kg.groupBy(F.col("h").alias("entity")).agg(F.collect_set("r").alias("rs"))
+    each = asked.join(of_node, "entity").repartition("entity", "part").select("entity", F.explode("histories").alias("history"), "rs")
+    first = each.select("entity", "history", F.slice(shuffled(F.col("rs"), seed, F.col("entity"), F.col("history")), 1, threshold).alias("first"))
+    others = F.array_except(F.coalesce("first", F.array().cast(LIST)), F.col("known"))
+    pool = F.when(room > 0, F.array_union("known", F.slice(others, F.lit(1), F.greatest(room, F.lit(1))))).otherwise(F.col("known"))
+    return p.join(first, ["entity", "history"], "left").withColumn("pool", F.sort_array(pool)).drop("known", "first")
+
+
 def preference_v1(points: DataFrame, most: int) -> DataFrame:
     """Adds newline-joined ``chosen`` and ``rejected``: the first gold relations of the pool; the wrong ones
     known, topped up with other options; rows where one is empty or both are equal are dropped."""
