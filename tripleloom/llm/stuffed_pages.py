@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.session import spread
+from tripleloom.session import cut_lineage, spread
 
 #: Signs of Latin words in addresses, and those written without spaces between words.
 LATIN, HAN = "A-Za-z0-9_À-ɏ", "぀-ヿ㐀-䶿一-鿿"
@@ -111,7 +111,7 @@ class Pages:
         sums = np.concatenate([[0.0], np.cumsum(x)])
         at = np.arange(len(x))
         low, high = np.maximum(at - HALF, self.starts[self.page]), np.minimum(at + HALF + 1, self.starts[self.page + 1])
-        return (sums[high] - sums[low]) / (high - low)
+        return np.round((sums[high] - sums[low]) / (high - low), 9)  # the same whatever pages are read along
 
     def share(self, flagged: np.ndarray) -> np.ndarray:
         """Which share of each page's text the flagged units are; 0 for a page without text."""
@@ -134,6 +134,15 @@ class _Forms(dict):
         return n
 
 
+def page_words(text: str) -> set[str]:
+    """The words of a page that may stand for themselves."""
+    return {u.lower() for u in set(UNITS.findall(text)) if unit_kind(u) in ("word", "han")}
+
+
+def page_signs(text: str) -> set[str]:
+    return {WIDE_SIGNS.get(u, u) for u in set(UNITS.findall(text)) if unit_kind(u) == "sign"}
+
+
 class ClassReader:
     """Pages as sequences of class numbers.
 
@@ -145,8 +154,20 @@ class ClassReader:
     def __init__(self, prose: Sequence[str]) -> None:
         widespread: Counter = Counter()
         for text in prose:
-            widespread.update({u.lower() for u in set(UNITS.findall(text)) if unit_kind(u) in ("word", "han")})
-        known = [w for w, n in sorted(widespread.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY]
+            widespread.update(page_words(text))
+        self._name([w for w, n in sorted(widespread.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY])
+
+    @classmethod
+    def of(cls, known: Sequence[str], signs: Sequence[str]) -> ClassReader:
+        """A closed reader of the given words and signs."""
+        out = object.__new__(cls)
+        out._name(known)
+        for sign in signs[: BASE - len(out.number)]:  # a class must fit its place in a key
+            out.number["sign " + sign] = len(out.number)
+        out.close()
+        return out
+
+    def _name(self, known: Sequence[str]) -> None:
         names = ["", "unseen sign", "word", "Name", "CAPS", "again", "pair", "pair again"]
         names += ["target", "tag", "link", "hash", "relation", "host", "decimal", "price", "code", "number", "line", "lines", *("=" + w for w in known)]
         self.number = {name: i for i, name in enumerate(names)}
@@ -259,6 +280,32 @@ class ProseModel:
             counts = _Counts(pages.page[use], key[use])
             self.tables.append((counts, counts.summed(14)))
 
+    @classmethod
+    def of(cls, classes: int, tables: Sequence[tuple[np.ndarray, np.ndarray]]) -> ProseModel:
+        """The model of counts that were gathered elsewhere: keys and pages of each order."""
+        out = object.__new__(cls)
+        out.classes, out.tables = classes, []
+        for keys, counts in tables:
+            whole = object.__new__(_Counts)
+            order = np.argsort(keys)
+            whole.keys, whole.counts = keys[order], counts[order]
+            whole.own = np.zeros(0, np.int64)
+            out.tables.append((whole, whole.summed(14)))
+        return out
+
+    def besides(self, pages: Pages, kept: np.ndarray) -> ProseModel:
+        """This model, which counted the kept units of ``pages`` among others, ready to leave each of them out."""
+        out, local = object.__new__(ProseModel), ProseModel(self.classes, pages, kept)
+        out.classes, out.tables = self.classes, []
+        for ours, theirs in zip(self.tables, local.tables):
+            both = []
+            for whole, own in zip(ours, theirs):
+                joint = object.__new__(_Counts)
+                joint.keys, joint.counts, joint.own, joint.own_counts = whole.keys, whole.counts, own.own, getattr(own, "own_counts", None)
+                both.append(joint)
+            out.tables.append(tuple(both))
+        return out
+
     @staticmethod
     def _keys(p: Pages) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each order the n-gram of every unit, and where its history isn't cut."""
@@ -313,6 +360,12 @@ class StuffedModel:
         self.model = model
         self.reader.forms = None
 
+    @staticmethod
+    def usual(choice: tuple) -> tuple[int, int]:
+        """How far a choice of quantiles lies from the usual ones."""
+        high, low = choice
+        return LOW.index(low), abs(HIGH.index(high) - HIGH.index(USUAL[0]))
+
     @staticmethod
     def _bounds(pages: Pages, window: np.ndarray, prose: np.ndarray, stuffed: np.ndarray) -> tuple[float, float]:
         """The quantiles of prose that err least on the labelled pages; the usual ones where nothing is better."""
@@ -321,7 +374,7 @@ class StuffedModel:
         def cost(choice: tuple) -> tuple:
             high, low = choice
             case = pages.share((window > at(high)) | (window < at(low))) > BORDER
-            return int((case != stuffed).sum()), LOW.index(low), abs(HIGH.index(high) - HIGH.index(USUAL[0]))
+            return int((case != stuffed).sum()), *StuffedModel.usual(choice)
 
         high, low = min(((h, l) for h in HIGH for l in LOW), key=cost) if stuffed.any() else USUAL
         return at(low), at(high)
@@ -341,45 +394,156 @@ class StuffedModel:
         return float(self.scores([text])[0][0])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int, most_bytes: int) -> list[tuple[str, int]]:
-    """Labelled texts of each label, at most ``most`` and ``most_bytes`` together: those with the smallest hash of their key."""
-    chosen = None
-    for y in (0, 1):
-        one = labels.where(F.col(label) == y).select(F.col(key).alias("__key")).distinct().orderBy(F.xxhash64("__key"), "__key").limit(most)  # the documented bound of the sample
-        one = one.withColumn("__y", F.lit(y))
-        chosen = one if chosen is None else chosen.unionByName(one)
-    rows = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")  # at most twice ``most`` keys
-    order = Window.partitionBy("__y").orderBy(F.xxhash64("__key"), "__key", "__text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__sum", F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(order)).where(F.col("__sum") <= most_bytes)
-    return [(r["__text"], r["__y"]) for r in rows.select("__text", "__y", "__key").orderBy("__y", F.xxhash64("__key"), "__key", "__text").collect()]
+def _chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """From where to where texts are read at a time."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= AT_ONCE or i + 1 == len(texts):
+            yield start, i + 1
+            start, size = i + 1, 0
 
 
-def stuffed_shares(
-    documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "is_stuffed", sample: int = 3000, sample_bytes: int = 32 << 20
-) -> DataFrame:
+def _gathered(pages: DataFrame, step: Callable[[list[str], np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
+    """What ``step`` makes of the texts and labels of a few pages at a time, as rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, labels = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=bool)
+            for low, high in _chunks(texts):
+                for columns in step([t or "" for t in texts[low:high]], labels[low:high]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return pages.mapInArrow(run, schema)
+
+
+def exact_quantiles(values: DataFrame, shares: Sequence[float]) -> list[float]:
+    """The quantiles of ``(v, n)``, values from 0 on with how often they stand there; none without values.
+
+    Values are counted in steps of a thousandth; only where a wanted one lies are they put in order."""
+    values = values.withColumn("b", F.floor(F.col("v") * 1000))
+    counts = sorted((r["b"], r["n"]) for r in values.groupBy("b").agg(F.sum("n").alias("n")).collect())  # one row a step of a logarithm
+    whole = sum(n for _, n in counts)
+    if not whole:
+        return []
+    spots = [q * (whole - 1) for q in shares]
+    ranks = sorted({int(x) for x in spots} | {min(int(x) + 1, whole - 1) for x in spots})
+    wanted, before, i = [], 0, 0
+    for b, n in counts:
+        while i < len(ranks) and ranks[i] < before + n:
+            wanted.append((b, ranks[i] - before, ranks[i]))
+            i += 1
+        before += n
+    asked = values.sparkSession.createDataFrame(wanted, "b long, at long, rank long")
+    order = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = values.join(F.broadcast(asked.select("b").distinct()), "b").groupBy("b", "v").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(order))
+    found = inside.join(F.broadcast(asked), "b").where("at < upto AND at >= upto - n").select("rank", "v")  # two a share
+    at = {r["rank"]: r["v"] for r in found.collect()}
+    return [at[int(x)] + (at[min(int(x) + 1, whole - 1)] - at[int(x)]) * (x - int(x)) for x in spots]
+
+
+def fitted(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> StuffedModel:
+    """The StuffedModel of all labelled texts, read by the executors.
+
+    Only counts come to the driver: the most widespread words, signs, n-grams of classes (as many as classes allow,
+    however many texts), the errors of each choice of quantiles."""
+    chosen = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("__key"), (F.col(label) == 1).alias("y")).distinct()
+    pages = documents.select(F.col(key).alias("__key"), F.col(text).alias("t")).join(chosen, "__key").select("t", "y")
+    pages = spread(cut_lineage(pages))  # read six times below
+    share = pages.sparkSession.sparkContext.broadcast
+    model = StuffedModel([])
+
+    def names(texts: list[str], y: np.ndarray) -> Iterator[tuple]:
+        found: Counter = Counter()
+        for t, stuffed in zip(texts, y):
+            found.update(("sign", u) for u in page_signs(t))
+            if not stuffed:
+                found.update(("word", u) for u in page_words(t))
+        yield [k for k, _ in found], [u for _, u in found], [int(n) for n in found.values()]
+
+    units_ = cut_lineage(_gathered(pages, names, "kind string, u string, n long").groupBy("kind", "u").agg(F.sum("n").alias("n")))
+    most = lambda kind, least, size: [r["u"] for r in units_.where((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "u").limit(size).collect()]  # noqa: E731  # the model's classes
+    reader = ClassReader.of(most("word", 3, VOCABULARY), most("sign", 1, BASE))
+    classes = len(reader.number)
+
+    def counted(kept: Callable[[Pages, np.ndarray], np.ndarray]) -> ProseModel | None:
+        def step(texts: list[str], y: np.ndarray) -> Iterator[tuple]:
+            read = reader.read([t for t, stuffed in zip(texts, y) if not stuffed])
+            local = ProseModel(classes, read, kept(read, np.ones(len(read.cls), dtype=bool)))
+            for i, (counts, _) in enumerate(local.tables):
+                yield np.full(len(counts.keys), i, np.int64), counts.keys.astype(np.int64), counts.counts.astype(np.int64)
+
+        rows = _gathered(pages, step, "i long, k long, n long").groupBy("i", "k").agg(F.sum("n").alias("n")).toArrow()
+        i, k, n = (rows.column(c).to_numpy() for c in ("i", "k", "n"))
+        return ProseModel.of(classes, [(k[i == order], n[i == order]) for order in range(3)]) if len(k) else None
+
+    def windows(m: ProseModel, p: Pages, kept: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return p.smoothed(m.besides(p, kept).surprise(p, own.astype(np.float64)))
+
+    every = counted(lambda p, own: own)
+    if every is None:
+        return model
+    first = share(every)
+
+    def trusted(border: float) -> Callable[[Pages, np.ndarray], np.ndarray]:
+        return lambda p, own: own & (windows(first.value, p, own, own) <= border)
+
+    def values(window: Callable[[Pages, np.ndarray], np.ndarray]) -> DataFrame:
+        def step(texts: list[str], y: np.ndarray) -> Iterator[tuple]:
+            read = reader.read([t for t, stuffed in zip(texts, y) if not stuffed])
+            v, n = np.unique(window(read, np.ones(len(read.cls), dtype=bool)), return_counts=True)
+            yield v, n.astype(np.int64)
+
+        return cut_lineage(_gathered(pages, step, "v double, n long"))
+
+    kept = trusted(exact_quantiles(values(lambda p, own: windows(first.value, p, own, own)), [TRUSTED])[0])
+    prose = counted(kept)
+    second = share(prose)
+    quantiles = [q for q in (*HIGH, *LOW) if q is not None]
+
+    def kept_windows(p: Pages, own: np.ndarray) -> np.ndarray:
+        k = kept(p, own)
+        return windows(second.value, p, k, own)[k]
+
+    at = dict(zip(quantiles, exact_quantiles(values(kept_windows), quantiles))) | {None: -np.inf}
+    options = [(h, l) for h in HIGH for l in LOW]
+
+    def errors(texts: list[str], y: np.ndarray) -> Iterator[tuple]:
+        read = reader.read(texts)
+        own = ~y[read.page]
+        window = windows(second.value, read, kept(read, own), own)
+        wrong = [int(((read.share((window > at[h]) | (window < at[l])) > BORDER) != y).sum()) for h, l in options]
+        yield list(range(len(options))), wrong, [int(y.sum())] * len(options)
+
+    costs = _gathered(pages, errors, "i long, wrong long, stuffed long").groupBy("i").agg(F.sum("wrong").alias("wrong"), F.sum("stuffed").alias("stuffed")).collect()
+    wrong = {options[r["i"]]: r["wrong"] for r in costs}
+    high, low = min(options, key=lambda c: (wrong[c], *StuffedModel.usual(c))) if costs[0]["stuffed"] else USUAL
+    model.reader, model.model, model.low, model.high = reader, prose, at[low], at[high]
+    model.model.forget_pages()
+    model.reader.forms = None
+    return model
+
+
+def stuffed_shares(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "is_stuffed") -> DataFrame:
     """``(<key>, share, perplexity)``: what share of each text is stuffed, and the perplexity of the whole.
 
-    ``sample`` and ``sample_bytes`` bound the labelled texts of each label that the model is fitted
-    on; every text is scored, whole.  Null, empty and blank texts have share 0 and no
+    The model is fitted on every labelled text, and every text is scored, whole.  Null, empty and blank texts have share 0 and no
     perplexity.  Without labelled prose nothing is a case; with no stuffed label the usual
     quantiles hold.  Rows come out each, repeated or not; other columns are ignored.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(StuffedModel(labelled_sample(documents, labels, key, text, label, sample, sample_bytes)))  # bounded by the sample
+    shared = spark.sparkContext.broadcast(fitted(documents, labels, key, text, label))  # counts of n-grams of classes
     kind = dict(documents.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value.scores
         for b in batches:
             texts = b.column(1).to_pylist()
-            start, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= AT_ONCE or i + 1 == len(texts):
-                    share, perplexity = scores(texts[start : i + 1])
-                    known = pa.array(perplexity, pa.float64(), from_pandas=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i + 1 - start), pa.array(share, pa.float64()), known], names=["key", "share", "perplexity"])
-                    start, size = i + 1, 0
+            for low, high in _chunks(texts):
+                share, perplexity = scores(texts[low:high])
+                known = pa.array(perplexity, pa.float64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(share, pa.float64()), known], names=["key", "share", "perplexity"])
 
     return (
         spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
