@@ -121,7 +121,9 @@ def filled_pool(points: DataFrame, kg: DataFrame, threshold: int, seed: str = "c
     part = F.pmod(F.xxhash64("history"), F.lit(parts))
     asked = p.where(room > 0).groupBy("entity", part.alias("part")).agg(F.collect_set("history").alias("histories"))
     of_node = kg.groupBy(F.col("h").alias("entity")).agg(F.collect_set("r").alias("rs"))
-    each = asked.join(of_node, "entity").repartition("entity", "part").select("entity", F.explode("histories").alias("history"), "rs")
+    spark = points.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a given number isn't drawn together: few bytes, much work
+    each = asked.join(of_node, "entity").repartition(tasks, "entity", "part").select("entity", F.explode("histories").alias("history"), "rs")
     first = each.select("entity", "history", F.slice(shuffled(F.col("rs"), seed, F.col("entity"), F.col("history")), 1, threshold).alias("first"))
     others = F.array_except(F.coalesce("first", F.array().cast(LIST)), F.col("known"))
     pool = F.when(room > 0, F.array_union("known", F.slice(others, F.lit(1), F.greatest(room, F.lit(1))))).otherwise(F.col("known"))
